@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, secrets, syncmers, urls
+from . import leaks, licenses, lines, quality, secrets, syncmers, urls
 from .common import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it; clean documents have none."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.fingerprint_documents(read(spark, sf_dir, "documents"))
     hashes = lambda c: F.transform(F.col(c)["w"], lambda x: x)
@@ -56,4 +62,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_url_filters, op4_license_scan, op7_secret_scan, op8_line_dedup)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept, with their evidence, their site's and the joint probability of being bad."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = quality.classify(docs, read(spark, sf_dir, "labels"))
+    return judged.where("keep").select("doc_id", "source", "lang", "evidence", "site", "p_bad")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_url_filters, op4_license_scan, op7_secret_scan, op8_line_dedup, op9_quality)}
