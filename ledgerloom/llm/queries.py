@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, licenses, lines, quality, secrets, syncmers, urls
+from . import leaks, licenses, lines, packing, quality, secrets, spans, syncmers, urls
 from .common import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -42,6 +42,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).drop("text")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = spans.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     n = lambda test: F.size(F.filter("spans", test)).cast("long")
@@ -69,4 +78,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("keep").select("doc_id", "source", "lang", "evidence", "site", "p_bad")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_url_filters, op4_license_scan, op7_secret_scan, op8_line_dedup, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_url_filters, op4_license_scan, op5_substring_dedup, op6_packing, op7_secret_scan, op8_line_dedup, op9_quality)}
