@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, licenses, lines, packing, quality, secrets, spans, syncmers, urls
+from . import leaks, licenses, lines, packing, quality, secrets, similar, spans, syncmers, urls
 from .common import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -78,4 +78,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("keep").select("doc_id", "source", "lang", "evidence", "site", "p_bad")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_url_filters, op4_license_scan, op5_substring_dedup, op6_packing, op7_secret_scan, op8_line_dedup, op9_quality)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_url_filters, op4_license_scan, op5_substring_dedup, op6_packing, op7_secret_scan, op8_line_dedup, op9_quality, op10_jaccard_join)}
