@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, ascii_lower, with_row_id
+from .common import ROW_ID, ascii_lower, with_row_id, written
 
 #: Characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,6 +39,8 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     found = keyed.groupBy("_h1", "_h2").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last"), F.count_if(F.col("_id").isNull()).alias("_nulls"))
     shared = found.where((F.col("_owner") < F.col("_last")) | ((F.col("_nulls") > 0) & F.col("_owner").isNotNull())).select("_h1", "_h2", "_owner")
+    # As a table of its own, so that the join below reads it by a shuffle and adaptive execution can split a hot line.
+    shared = written(shared, "shared-lines")
     gone = (
         keyed.join(shared, ["_h1", "_h2"])
         .where(F.col("_id").isNull() | (F.col("_id") != F.col("_owner")))
