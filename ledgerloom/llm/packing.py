@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ SEQUENCE = 4096
 DIMENSIONS, BITS = 3, 12
 
 #: Distinct words whose ids a worker keeps at most.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -31,43 +32,116 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of plain letters and the marks after it. The tokenizer takes the letters, lower-cased, as one piece and the
+#: marks as another.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,;:!?"
+PLAIN = re.compile(f"({LETTERS})([{MARKS}]*)")
+
+#: Plain words that are encoded in one call.
+JOINED = 64
+
+
 class Encoder:
-    """Token ids of whole texts. The tokenizer drops blanks and never merges across them, so that each distinct word
-    between ASCII blanks is encoded once; ids of a text are those of its words in order."""
+    """Token ids of whole texts, through a cache of distinct words.
+
+    The tokenizer drops blanks and never merges across them, so ids of a text are those of its words in order. A plain
+    word's ids are those of its lower-cased letters and of its marks; letters are encoded many words at a time and told
+    apart by the tokens that end a word. A tokenizer for which a probe shows otherwise gets whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
+        probe = ["Some", "wordés", "stand...", "here,", "it's", "x2", "über!?", "sometimes", "UPPER"]
+        whole = self._ids(["  ".join(probe) + "\n" + "\t".join(probe)])[0]
+        self.by_word = whole == [i for p in probe * 2 for i in self._ids([p])[0]]
+        self.plain = self.by_word and all(self._ids([p])[0] == self._ids([m[1].lower()])[0] + (self._ids([m[2]])[0] if m[2] else []) and self.ends[self._ids([m[1].lower()])[0]].sum() == 1 for p in probe if (m := PLAIN.fullmatch(p)))
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.parts: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.place[""] = 0
+
+    def _hold(self, words: list[str], ids: list[np.ndarray], size: list[np.ndarray]) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.flat, self.size = np.concatenate((self.flat, *ids)), np.concatenate((self.size, *size))
 
-    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's begin (one more than texts), without the ends of documents."""
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.place]
+        joined = [w for w in new if self.plain and PLAIN.fullmatch(w)]
+        order, ids, size = [], [], []
+        single = [w for w in new if not (self.plain and PLAIN.fullmatch(w))]
+        for k in range(0, len(joined), JOINED):
+            part = joined[k : k + JOINED]
+            got = np.array(self._ids([" ".join(part)])[0], np.uint32)
+            last = np.flatnonzero(self.ends[got])
+            if len(last) == len(part) and last[-1] == len(got) - 1:
+                order += part
+                ids.append(got)
+                size.append(np.diff(last, prepend=-1))
+            else:
+                single += part
+        if single:
+            got = self._ids(single)
+            order += single
+            ids.append(np.fromiter((i for x in got for i in x), np.uint32))
+            size.append(np.fromiter(map(len, got), np.int64, len(got)))
+        if order:
+            self._hold(order, ids, size)
+
+    def _parts(self, words: pa.Array) -> np.ndarray:
+        """For each word, the places of its letters and of its marks; of a word that isn't plain, of itself and of none."""
+        plain = pc.match_substring_regex(words, f"^{LETTERS}[{MARKS}]*$") if self.plain else pa.array(np.zeros(len(words), bool))
+        letters = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, MARKS)), words)
+        marks = pc.if_else(plain, pc.replace_substring_regex(words, f"^{LETTERS}", ""), "")
+        places = []
+        for part in (letters, marks):
+            coded = part.dictionary_encode()
+            known = coded.dictionary.to_pylist()
+            self._learn(known)
+            places.append(np.fromiter((self.place[w] for w in known), np.int64, len(known))[coded.indices.to_numpy(zero_copy_only=False)])
+        return np.stack(places, axis=1)
+
+    def _expand(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of held words in order, and where each word's begin (one more than words)."""
+        begin = np.cumsum(self.size) - self.size
+        count = self.size[at]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return self.flat[np.repeat(begin[at] - ends[:-1], count) + np.arange(ends[-1])], ends
+
+    def __call__(self, text: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's begin (one more than texts), and each text's sum of its ids' vectors."""
+        if not self.by_word:
+            ids = self._ids(pc.fill_null(text, "").to_pylist())
+            flat, offsets = np.fromiter((i for x in ids for i in x), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+            return flat, offsets, between(vectors[flat], offsets)
         values, offsets = split_words(text)
         coded = values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
         if len(self.place) > MOST_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.parts.append(np.fromiter((i for x in ids for i in x), np.uint32))
-            self.sizes, self.parts = [np.concatenate(self.sizes)], [np.concatenate(self.parts)]
-        size, flat = self.sizes[0], self.parts[0]
-        begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)] if words else np.zeros(0, np.int64)
-        count = size[at]
+        own = self._parts(coded.dictionary) if len(values) else np.zeros((0, 2), np.int64)
+        flat, starts = self._expand(own.ravel())
+        starts = starts[::2]  # of each distinct word
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        count = np.diff(starts)[at]
         ends = np.concatenate(([0], np.cumsum(count)))
-        ids = flat[np.repeat(begin[at] - ends[:-1], count) + np.arange(ends[-1])]
-        return ids, ends[offsets]
+        ids = flat[np.repeat(starts[:-1][at] - ends[:-1], count) + np.arange(ends[-1])]
+        return ids, ends[offsets], between(between(vectors[flat], starts)[at], offsets)
+
+
+def between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of rows from each offset to the next."""
+    total = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)))
+    return np.diff(total[offsets], axis=0)
 
 
 def projection(size: int) -> np.ndarray:
@@ -101,11 +175,9 @@ def hilbert_key(cells: np.ndarray) -> np.ndarray:
     return key
 
 
-def cells_of(ids: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Each document's mean vector, in cells: a mean of n signs is about normal with deviation 1/sqrt(n)."""
-    n = np.diff(offsets)
-    sums = np.stack([np.concatenate(([0.0], np.cumsum(vectors[ids, d], dtype=np.float64)))[offsets] for d in range(DIMENSIONS)], axis=1)
-    z = np.diff(sums, axis=0) / np.sqrt(np.maximum(1, n))[:, None]
+def cells_of(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cells of the documents' mean vectors: a mean of n signs is about normal with deviation 1/sqrt(n)."""
+    z = sums / np.sqrt(np.maximum(1, n))[:, None]
     share = 1 / (1 + np.exp(-np.clip(z * 1.6, -40, 40) / np.maximum(1, np.sqrt(np.maximum(1, n)) / 8)[:, None]))
     return np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
@@ -170,10 +242,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         vectors = projection(vocabulary)
         for batch in batches:
             for part in slices(batch, "_text"):
-                ids, at = encode(part.column("_text"))
-                key = hilbert_key(cells_of(ids, at, vectors))
-                packed = [ids[a:b].astype(width).tobytes() for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(ROW_ID), part.column("doc_id"), pa.array(key, pa.int64()), pa.array(packed, pa.binary())], [ROW_ID, "doc_id", "hilbert", "ids"])
+                ids, at, sums = encode(part.column("_text"), vectors)
+                key = hilbert_key(cells_of(sums, np.diff(at)))
+                ids = ids.astype(width)
+                packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(ROW_ID), part.column("doc_id"), pa.array(key, pa.int64()), packed.cast(pa.binary())], [ROW_ID, "doc_id", "hilbert", "ids"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     table = written(rows.mapInArrow(encoded, f"{ROW_ID} long, doc_id {id_type}, hilbert long, ids binary"), "tokens")
