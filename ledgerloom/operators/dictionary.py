@@ -24,9 +24,12 @@ def top(patterns: DataFrame, n: int) -> DataFrame:
 
 def ngrams(words: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """n-grams of tokens that stand more than once, with their count and the rows that hold them."""
+    def grams(tokens: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.array_join(F.slice(tokens, i, size), " "))
+
+    # Split once, as a lambda's argument: inside it the text would be split again for every n-gram.
     tokens = F.split(F.col(text), " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    each = words.where(F.size(tokens) >= size).select(key, F.explode(grams).alias("gram"))
+    each = words.select(key, F.explode(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= size, grams(t)))[0]).alias("gram"))
     counted = each.groupBy("gram", key).agg(F.count("*").alias("n")).groupBy("gram").agg(F.sum("n").alias("repeats"), F.count("*").alias("holders"))
     return counted.where("repeats > 1")
 
@@ -37,8 +40,13 @@ def matches(words: DataFrame, patterns: DataFrame, key: str = "ordinal", text: s
     Only places of the lengths that patterns have are cut out of a text, and they meet the patterns in an equi-join.
     """
     lengths = sorted(r[0] for r in patterns.select(F.length(pattern)).distinct().collect())
-    cuts = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.struct(i.alias("at"), F.substring(F.col(text), i, F.lit(n)).alias("piece"))) for n in lengths]))
-    each = words.select(key, F.explode(cuts).alias("c")).select(key, (F.col("c.at") - 1).cast("long").alias("at"), F.col("c.piece").alias(pattern))
+
+    def cuts(chars: Column) -> Column:
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(chars, i, n), "").alias("piece")))
+        return F.flatten(F.array_compact(F.array(*[F.when(F.size(chars) >= n, of(n)) for n in lengths])))
+
+    chars = F.array_remove(F.split(F.col(text), "", -1), "")
+    each = words.select(key, F.explode(F.transform(F.array(chars), cuts)[0]).alias("c")).select(key, (F.col("c.at") - 1).cast("long").alias("at"), F.col("c.piece").alias(pattern))
     hit = each.join(patterns.select(pattern).distinct(), pattern).withColumn("until", F.col("at") + F.length(pattern))
     longest = hit.groupBy(key, "at").agg(F.max("until").alias("until"))
     before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ def split(values: DataFrame, *by: str) -> DataFrame:
     """values (by, i, value) with low, the lower bits, and high, the place of the one bit of the unary upper part."""
     sized = values.join(stats(values, "value", *by), list(by))
     width = sized.withColumn("width", low_bits(F.col("n"), F.col("most")).cast("int"))
-    power = F.shiftleft(F.lit(1).cast("long"), F.col("width"))
+    power = F.expr("shiftleft(1L, width)")
     return width.select(*by, "i", "value", "width", (F.col("value") % power).alias("low"), (F.floor(F.col("value") / power) + F.col("i")).alias("high"))
 
 

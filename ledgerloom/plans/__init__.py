@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import blocks
+from . import blocks, segments, state
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "blocks"]
+__all__ = ["ORACLE_SQL", "QUERIES", "blocks", "segments", "state"]
