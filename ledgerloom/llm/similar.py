@@ -18,6 +18,9 @@ SHINGLE = 5
 #: Linked: 100 * common >= LEAST_PERCENT * all. The bounds below hold for this value: |A ^ B| <= (|A| + |B|) / 9.
 LEAST_PERCENT = 80
 
+#: Of the pairs that the sketches allow, how many of each row are verified in each turn of step 2; None: all.
+LIKELIEST = (2, 16, None)
+
 #: Members of a part's group whose sketches are compared at a time.
 BLOCK = 2048
 
@@ -210,9 +213,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crossing(most: int | None):
     """From rows (key, part_a, part_b, side, row, comp, n, sketch) sorted by the first three: pairs of rows of different
-    components whose sizes and sketches allow a link. Of two blocks, rows of the one meet those of the other."""
+    components whose sizes and sketches allow a link, for each row the `most` likeliest. Of two blocks, rows of the one
+    meet those of the other."""
 
     def pairs(block) -> list[tuple[int, int]]:
         if len({b[2] for b in block}) < 2:
@@ -223,27 +227,40 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.stack([fold(b[4], size) for b in block])
         found = []
         for i in range(len(block)):
-            ok = (comp != comp[i]) & (row > row[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
+            ok = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
+            if most is None:
+                ok &= row > row[i]
             if side[i] >= 0:
                 ok &= side != side[i]
             at = np.flatnonzero(ok)
             if len(at):
                 apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                found += [(int(row[i]), int(row[j])) for j in at[apart <= (n[at] + n[i]) // 9]]
+                fits = apart <= (n[at] + n[i]) // 9
+                at = at[fits]
+                if most is not None:
+                    at = at[np.lexsort((row[at], apart[fits]))[:most]]
+                found += [(int(min(row[i], row[j])), int(max(row[i], row[j]))) for j in at]
         return found
 
-    block, own = [], None
-    for batch in batches:
-        got = []
-        for key, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")), strict=True):
-            if (key, a, b) != own:
-                got += pairs(block)
-                block = []
-            own = (key, a, b)
-            block.append(member)
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = [], None
+        # A pair of near copies meets under many keys; of those in a task it is told of once, as far as memory goes.
+        told: set[tuple[int, int]] = set()
+        for batch in batches:
+            got = []
+            for key, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")), strict=True):
+                if (key, a, b) != own:
+                    got += [p for p in pairs(block) if p not in told]
+                    told = set() if len(told) > 1_000_000 else told
+                    told.update(got[-BLOCK:])
+                    block = []
+                own = (key, a, b)
+                block.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+        got = pairs(block)
         yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["a", "b"])
-    got = pairs(block)
-    yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return crossing
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,21 +322,29 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     links = written(sets.linked(stars), "links")
     joined = components(links)
 
-    # Representatives with what they belong to so far; keys that still join several components.
-    belongs = nodes.join(joined, F.col("row") == F.col("node"), "left").select("row", "n", "sketch", F.coalesce("root", "row").alias("comp"))
-    small = belongs.select(F.col("row").alias("_r"), "comp")
-    held = written(shared.select("key", "row").join(small, F.col("row") == F.col("_r")).select("key", "row", "comp"), "held-keys")
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    grouped = held.join(mixed, "key").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-    grouped = grouped.withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
-    grouped = grouped.select("key", "row", "own", F.explode(meets).alias("m")).select("key", "row", "m.*", F.when(F.col("m.part_a") == F.col("m.part_b"), -1).otherwise(F.col("own")).alias("side"))
-    grouped = grouped.join(belongs.select(F.col("row").alias("_r"), "n", "sketch", "comp"), F.col("row") == F.col("_r")).select("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")
-    crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing, "a long, b long").distinct()
-    crossing = written(crossing.join(stars, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        links = written(links.unionByName(sets.linked(crossing)), "links")
+    def belongs() -> DataFrame:
+        return nodes.join(joined, F.col("row") == F.col("node"), "left").select(F.col("row").alias("_r"), "n", "sketch", F.coalesce("root", "row").alias("comp"))
+
+    # Keys whose representatives still belong to several components, then, by turns, fewer of them.
+    held, tested = shared.select("key", "row"), stars
+    for most in LIKELIEST:
+        comps = belongs()
+        placed = written(held.join(comps.select("_r", "comp"), F.col("row") == F.col("_r")).select("key", "row", "comp"), "held-keys")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
+        held = written(placed.join(mixed, "key").select("key", "row", "size"), "mixed-keys")
+        grouped = held.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
+        grouped = grouped.select("key", "row", "own", F.explode(meets).alias("m")).select("key", "row", "m.*", F.when(F.col("m.part_a") == F.col("m.part_b"), -1).otherwise(F.col("own")).alias("side"))
+        grouped = grouped.join(comps, F.col("row") == F.col("_r")).select("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")
+        crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing(most), "a long, b long")
+        crossing = written(crossing.distinct(), "crossing")
+        if crossing.isEmpty():
+            break
+        fresh = written(crossing.join(tested, ["a", "b"], "left_anti"), "fresh")
+        tested = tested.unionByName(fresh)
+        links = written(links.unionByName(sets.linked(fresh)), "links")
         joined = components(links)
+        held = held.select("key", "row")
 
     return member.join(joined, F.col("rep") == F.col("node"), "left").select("row", "_id", "n", F.coalesce("root", "rep").alias("root"))
 
@@ -333,7 +358,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. All rows of a part key (see part_keys) are held against its first row. Nearly all near copies are joined here,
        at one pair per row and first row however large the group.
     2. In the groups that still hold several components, the sketches of all rows of different components are compared
-       in memory, in blocks, and only pairs that the sketch bound allows go on.
+       in memory, in blocks, and only pairs that the sketch bound allows go on: first the likeliest few of each row,
+       and when these have joined what they can, all that still lie between components.
 
     Allowed pairs are verified on the sets themselves. Any two linked sets have a key in common, so a link between
     components of step 1 is found in step 2: no link between components is lost.
