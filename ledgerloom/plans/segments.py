@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dictionary, lookup, predicates, scan
 from ..operators.positions import with_positions
+from ..sources import words as files
 from . import views as v
 from .registry import query
 
@@ -269,3 +270,11 @@ def cover_words(s: S, d: str) -> DataFrame:
 @query()
 def pattern_uses(s: S, d: str) -> DataFrame:
     return cover_words(s, d).groupBy("pattern").agg(F.count("*").alias("uses"))
+
+
+@query("words", "SELECT lang AS file, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ordinal, length, sha256(word) AS digest FROM words")
+def segment_roundtrip(s: S, d: str) -> DataFrame:
+    """Words of each language written to a word file and read back."""
+    words = v.words(s, d).withColumn("compressed", F.col("ordinal") % 3 != 0)
+    back = files.from_files(files.to_files(words, "lang"))
+    return back.select("file", "ordinal", F.octet_length("word").cast("long").alias("length"), F.sha2("word", 256).alias("digest"))
