@@ -99,5 +99,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def schema_without(df: DataFrame, *names: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in names)
+def others(df: DataFrame, *results: str) -> list[str]:
+    """The columns of df that an operator passes through: all but those named as its results. Names that begin with an
+    underscore are the operators' own."""
+    return [c for c in df.columns if c not in results]

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, others
 
 #: What stands between words. Words are runs of 0-9, letters of either case and everything beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -72,7 +72,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: Sequence[T
 
     score is the largest share of a found template's words; 0 without any. Defined cases: null text is an empty text;
     a text without words has n_words 0, null first_word and last_word and empty labels; repeated rows and null ids
-    stay as they are; an empty table gives an empty one; other columns pass through.
+    stay as they are; an empty table gives an empty one; other columns pass through, but
+    for those named as the results.
     """
     weights = word_weights(docs, text_col, templates) if weights is None else weights
     anchor = {t: max(range(len(t.phrase.split())), key=lambda i, p=t.phrase.split(): (weights.get(p[i], 0.0), -i)) for t in templates}
@@ -95,7 +96,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: Sequence[T
     base = F.flatten(F.array(*[F.col("_found.places")[i]["at"] for i in n_base]))
     labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(F.col("_found.places")[i]) > 0, templates[i].label) for i in of])))), ",")
     return scanned.withColumn("_base", base).select(
-        *docs.columns,
+        *others(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"),
         F.col("_found.n").cast("long").alias("n_words"),
         F.size("_base").cast("long").alias("n_base"),
         F.array_min("_base").cast("long").alias("first_word"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, ascii_lower, with_row_id, written
+from .common import ROW_ID, ascii_lower, others, with_row_id, written
 
 #: Characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,7 +27,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Defined cases: null text is an empty text; an empty text has one empty line; rows with one id are one document, of
     which every row keeps its lines; null ids are one document with the largest id; an empty table gives an empty one;
-    columns besides id and text pass through and may have any name but those added here.
+    columns besides id and text pass through, but for those named as the results.
     """
     rows = with_row_id(docs)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
@@ -53,7 +53,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.transform(F.array(F.col("_lines")), lambda all_lines: F.array_join(F.transform(stay, lambda at: F.get(all_lines, at)), "\n"))[0]
     return split.select(
-        *[c for c in docs.columns],
+        *others(docs, "n_lines", "n_dropped", "kept"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_dropped"),
         F.when(F.size("_gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept).alias("kept"),

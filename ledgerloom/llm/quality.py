@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, slices, split_words, with_row_id, written
+from .common import ROW_ID, others, slices, split_words, with_row_id, written
 
 #: Labelled documents that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 MOST_LABELLED = 12_000
@@ -76,7 +76,8 @@ def fit(rows: np.ndarray, features: np.ndarray, target: np.ndarray) -> np.ndarra
     """
     n, bad = len(target), target.sum()
     weights = np.zeros(FEATURES + 1)
-    weights[-1] = math.log((bad + 0.5) / (n - bad + 0.5))
+    # Without any label nothing speaks against a document.
+    weights[-1] = math.log((bad + 0.5) / (n - bad + 0.5)) if n else -5.0
     with_bad, with_good = np.bincount(features, target[rows], FEATURES), np.bincount(features, 1 - target[rows], FEATURES)
     apart = np.log((with_bad + 0.5) / (bad + 1)) - np.log((with_good + 0.5) / (n - bad + 1))
     used = (with_bad + with_good >= LEAST_SEEN) & (np.abs(apart) >= LEAST_ERRORS * np.sqrt(1 / (with_bad + 0.5) + 1 / (with_good + 0.5)))
@@ -175,10 +176,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are kept. The classifier is fitted on a bounded sample (MOST_LABELLED); everything else is over all rows.
 
     Defined cases: null and empty texts have the constant alone as evidence; null hosts are one host, null paths one
-    path of each host; without labels, or with labels of one kind only, evidence is the same for all documents;
+    path of each host; without labels all documents are kept, and with labels of one kind only evidence is the
+    same for all;
     repeated rows are each judged; labels of unknown or null ids count for nothing, and of several labels of an id the
-    worst holds; an empty table gives an empty one.
+    worst holds; an empty table gives an empty one; columns named as the results are left out.
     """
+    docs = docs.select(*others(docs, "evidence", "site", "p_bad", "keep"))
     return _classified(with_row_id(docs), docs, labels, id_col, text_col, host_col, path_col).drop(ROW_ID)
 
 
@@ -196,6 +199,7 @@ def _classified(rows: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """The rows of docs that classify() keeps, unchanged. Texts move once, to meet the decisions."""
     rows = with_row_id(docs)
-    judged = _classified(rows, docs, labels, id_col, text_col, host_col, path_col)
+    own = dict.fromkeys((id_col, text_col, host_col, path_col))
+    judged = _classified(rows.select(ROW_ID, *own), docs, labels, id_col, text_col, host_col, path_col)
     gone = judged.where(~F.col("keep")).select(F.col(ROW_ID).alias("_gone"))
     return rows.join(gone, F.col(ROW_ID) == F.col("_gone"), "left_anti").select(*docs.columns)

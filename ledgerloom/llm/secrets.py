@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, with_row_id, written
+from .common import ROW_ID, others, with_row_id, written
 
 
 class Kind(NamedTuple):
@@ -85,7 +85,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = F.struct("start", "kind", "end", F.element_at(names, F.col("kind") + 1).alias("name"), "owners", "repositories", "verdict")
     listed = judged.groupBy(F.col(ROW_ID).alias("_row")).agg(F.array_sort(F.collect_list(one)).alias("spans"))
     empty = F.array().cast(listed.schema["spans"].dataType)
-    kept = [c for c in docs.columns if c != text_col]
+    kept = others(docs, text_col, "spans")
     return rows.select(ROW_ID, *kept).join(listed, F.col(ROW_ID) == F.col("_row"), "left").select(*kept, F.coalesce("spans", empty).alias("spans"))
 
 

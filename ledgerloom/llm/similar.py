@@ -375,9 +375,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
     rows = with_row_id(docs)
     rooted = _rooted(rows, id_col, text_col)
-    least = rooted.groupBy("root").agg(F.min("_id").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("row").alias("_row"), F.col("n").alias("n_shingles"), "component_id")
-    return rows.join(named, F.col(ROW_ID) == F.col("_row")).select(*names, "n_shingles", "component_id")
+    least = rooted.groupBy("root").agg(F.min("_id").alias("_least"))
+    named = rooted.join(least, "root").select(F.col("row").alias("_row"), F.col("n").alias("_n"), "_least")
+    return rows.join(named, F.col(ROW_ID) == F.col("_row")).select(*names, F.col("_n").alias("n_shingles"), F.col("_least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, others
 
 #: (host, path, verdict); the rule's text is host + path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -51,7 +51,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     in a third of the rows is one row per task.
 
     Defined cases: a null URL or one without `://` has an empty host and path and no rule; repeated rows stay; an empty
-    table gives an empty one; a rule listed twice counts once, with block before allow; null rules never fit.
+    table gives an empty one; a rule listed twice counts once, with block before allow; null rules never fit; columns of pages
+    named as the results are left out.
     """
     spark = pages.sparkSession
     listed = not isinstance(rules, DataFrame)
@@ -87,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
         F.max(F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_verdict").alias("v"), F.concat("r_host", "r_path").alias("rule"))).alias("_best")
     )
     return pages.join(best, pages[url_col] == best["_url"], "left").select(
-        *[pages[c] for c in pages.columns],
+        *[pages[c] for c in others(pages, "host", "path", "rule", "verdict")],
         host_of(pages[url_col]).alias("host"),
         path_of(pages[url_col]).alias("path"),
         F.col("_best.rule").alias("rule"),
