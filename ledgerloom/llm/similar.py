@@ -341,10 +341,12 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if crossing.isEmpty():
             break
         fresh = written(crossing.join(tested, ["a", "b"], "left_anti"), "fresh")
+        held = held.select("key", "row")
+        if fresh.isEmpty():
+            continue
         tested = tested.unionByName(fresh)
         links = written(links.unionByName(sets.linked(fresh)), "links")
         joined = components(links)
-        held = held.select("key", "row")
 
     return member.join(joined, F.col("rep") == F.col("node"), "left").select("row", "_id", "n", F.coalesce("root", "rep").alias("root"))
 
