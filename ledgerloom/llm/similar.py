@@ -24,6 +24,24 @@ LIKELIEST = (2, 16, None)
 #: Members of a part's group whose sketches are compared at a time.
 BLOCK = 2048
 
+#: Blocks up to this size are compared pair by pair, larger ones row by row against arrays.
+SMALL = 32
+
+#: Pairs that a task remembers, so that it tells of each but once.
+REMEMBERED = 500_000
+
+#: Bytes of text hashed at a time; the arrays made of them are about forty times as large.
+RUN = 1 << 20
+
+
+def grouped_order(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Positions sorted by group and value. Groups of a run of texts are few, and 16 bits sort by counting."""
+    order = np.argsort(value)
+    group = group[order]
+    if len(group) and group.max() < 1 << 16:
+        group = group.astype(np.uint16)
+    return order[np.argsort(group, kind="stable")]
+
 
 def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' distinct shingles, sorted within each text, and where each text's begin.
@@ -42,7 +60,7 @@ def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         code = np.where(length > k, mix(code * np.uint64(0x9E3779B97F4A7C15) + ahead), code)
     begins = at <= np.maximum(n - SHINGLE, 0)[row]
     code, row = code[begins], row[begins]
-    order = np.lexsort((code, row))
+    order = grouped_order(row, code)
     code, row = code[order], row[order]
     new = np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])))[: len(code)]
     return code[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(n)))))
@@ -135,7 +153,7 @@ def _digests(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", RUN):
             codes, offsets = shingle_sets(part.column("_text"))
             d1, d2 = _digests(codes, offsets)
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +166,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, row, more): a key's sets within a run of rows are one row. Of equal sets in a task only the first counts."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", RUN):
             codes, offsets = shingle_sets(part.column("_text"))
             ids = part.column(ROW_ID).to_numpy(zero_copy_only=False)
             digests = list(zip(*(x.tolist() for x in _digests(codes, offsets)), strict=True))
@@ -161,7 +179,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             held, key = part_keys(codes, offsets)
             held, key = held[fresh[held]], key[fresh[held]]
-            order = np.lexsort((held, key))
+            order = np.argsort(key)
             held, key = held[order], key[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
             rest = np.ones(len(key), bool)
@@ -213,52 +231,90 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _meetings(block: list[list], most: int | None) -> tuple[list[np.ndarray], bool]:
+    """Of a block's rows (side, row, comp, n, sketch), the pairs that _crossing wants, as arrays of lower and higher row;
+    whether some row had more than `most` of them."""
+    if len({b[2] for b in block}) < 2:
+        return [], False
+    size = min(len(b[4]) for b in block)
+    near: list[list[tuple[int, int]]] = [[] for _ in block]
+    if len(block) <= SMALL:
+        bits = [int.from_bytes(b[4] if len(b[4]) == size else fold(b[4], size).tobytes()) for b in block]
+        for i, (side, row, comp, n, _) in enumerate(block):
+            for j in range(i):
+                side_j, row_j, comp_j, n_j, _ = block[j]
+                if comp != comp_j and (side < 0 or side != side_j) and min(n, n_j) * 100 >= max(n, n_j) * LEAST_PERCENT:
+                    apart = (bits[i] ^ bits[j]).bit_count()
+                    if apart <= (n + n_j) // 9:
+                        near[i].append((apart, row_j))
+                        if most is not None:
+                            near[j].append((apart, row))
+        over = most is not None and any(len(x) > most for x in near)
+        found = [(min(b[1], r), max(b[1], r)) for b, x in zip(block, near, strict=True) for _, r in (sorted(x)[:most] if over else x)]
+        return [np.array(sorted(set(found)), np.int64)] if found else [], over
+    side, row, comp, n = (np.array([b[i] for b in block], np.int64) for i in range(4))
+    bits = np.stack([fold(b[4], size) for b in block])
+    found, over = [], False
+    for i in range(len(block)):
+        ok = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
+        if most is None:
+            ok &= row > row[i]
+        if side[i] >= 0:
+            ok &= side != side[i]
+        at = np.flatnonzero(ok)
+        if len(at):
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            fits = apart <= (n[at] + n[i]) // 9
+            at, apart = at[fits], apart[fits]
+            if most is not None and len(at) > most:
+                at, over = at[np.lexsort((row[at], apart))[:most]], True
+            found.append(np.stack((np.minimum(row[at], row[i]), np.maximum(row[at], row[i])), axis=1))
+    return found, over
+
+
 def _crossing(most: int | None):
-    """From rows (key, part_a, part_b, side, row, comp, n, sketch) sorted by the first three: pairs of rows of different
-    components whose sizes and sketches allow a link, for each row the `most` likeliest. Of two blocks, rows of the one
-    meet those of the other."""
-
-    def pairs(block) -> list[tuple[int, int]]:
-        if len({b[2] for b in block}) < 2:
-            return []
-        size = min(len(b[4]) for b in block)
-        row, comp, n = (np.array([b[i] for b in block], np.int64) for i in (1, 2, 3))
-        side = np.array([b[0] for b in block])
-        bits = np.stack([fold(b[4], size) for b in block])
-        found = []
-        for i in range(len(block)):
-            ok = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
-            if most is None:
-                ok &= row > row[i]
-            if side[i] >= 0:
-                ok &= side != side[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                fits = apart <= (n[at] + n[i]) // 9
-                at = at[fits]
-                if most is not None:
-                    at = at[np.lexsort((row[at], apart[fits]))[:most]]
-                found += [(int(min(row[i], row[j])), int(max(row[i], row[j]))) for j in at]
-        return found
+    """From rows (key, part_a, part_b, side, row, comp, n, sketch) sorted by the first three: pairs (a, b) of rows of
+    different components whose sizes and sketches allow a link, for each row the `most` likeliest. Of two blocks, rows of
+    the one meet those of the other. A row with a key alone says that this key has more pairs than that."""
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own = [], None
         # A pair of near copies meets under many keys; of those in a task it is told of once, as far as memory goes.
-        told: set[tuple[int, int]] = set()
+        told: set[int] = set()
+
+        def tell(block: list[list], key: int) -> Iterator[tuple[int | None, int | None, int | None]]:
+            found, over = _meetings(block, most)
+            if over:
+                yield None, None, key
+            for run in found:
+                for lo, hi in run.tolist():
+                    pair = lo << 64 | hi
+                    if pair not in told:
+                        if len(told) >= REMEMBERED:
+                            told.clear()
+                        told.add(pair)
+                        yield lo, hi, None
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "key"])
+
+        block, own, got = [], None, []
         for batch in batches:
-            got = []
             for key, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")), strict=True):
                 if (key, a, b) != own:
-                    got += [p for p in pairs(block) if p not in told]
-                    told = set() if len(told) > 1_000_000 else told
-                    told.update(got[-BLOCK:])
+                    for row in tell(block, own[0]) if block else ():
+                        got.append(row)
+                        if len(got) >= 50_000:
+                            yield packed(got)
+                            got = []
                     block = []
                 own = (key, a, b)
                 block.append(member)
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["a", "b"])
-        got = pairs(block)
-        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+        for row in tell(block, own[0]) if block else ():
+            got.append(row)
+            if len(got) >= 50_000:
+                yield packed(got)
+                got = []
+        yield packed(got)
 
     return crossing
 
@@ -285,7 +341,7 @@ class _Sets:
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "_text"):
+                for part in slices(batch, "_text", RUN):
                     codes, offsets = shingle_sets(part.column("_text"))
                     packed = [codes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([part.column(ROW_ID), pa.array(packed, pa.binary())], ["_r", "_set"])
@@ -325,7 +381,8 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def belongs() -> DataFrame:
         return nodes.join(joined, F.col("row") == F.col("node"), "left").select(F.col("row").alias("_r"), "n", "sketch", F.coalesce("root", "row").alias("comp"))
 
-    # Keys whose representatives still belong to several components, then, by turns, fewer of them.
+    # Keys whose representatives still belong to several components. A key goes on to the next turn only if some of its
+    # rows had more likely pairs than the turn took: of the others every allowed pair is verified.
     held, tested = shared.select("key", "row"), stars
     for most in LIKELIEST:
         comps = belongs()
@@ -336,17 +393,17 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
         meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
         grouped = grouped.select("key", "row", "own", F.explode(meets).alias("m")).select("key", "row", "m.*", F.when(F.col("m.part_a") == F.col("m.part_b"), -1).otherwise(F.col("own")).alias("side"))
         grouped = grouped.join(comps, F.col("row") == F.col("_r")).select("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")
-        crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing(most), "a long, b long")
+        crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing(most), "a long, b long, key long")
         crossing = written(crossing.distinct(), "crossing")
-        if crossing.isEmpty():
+        fresh = written(crossing.where("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            tested = tested.unionByName(fresh)
+            links = written(links.unionByName(sets.linked(fresh)), "links")
+            joined = components(links)
+        more = crossing.where("key IS NOT NULL").select("key")
+        if more.isEmpty():
             break
-        fresh = written(crossing.join(tested, ["a", "b"], "left_anti"), "fresh")
-        held = held.select("key", "row")
-        if fresh.isEmpty():
-            continue
-        tested = tested.unionByName(fresh)
-        links = written(links.unionByName(sets.linked(fresh)), "links")
-        joined = components(links)
+        held = held.join(more, "key", "left_semi").select("key", "row")
 
     return member.join(joined, F.col("rep") == F.col("node"), "left").select("row", "_id", "n", F.coalesce("root", "rep").alias("root"))
 
