@@ -59,3 +59,13 @@ def key_string(key: Column) -> Column:
     """How a progress report shows a key: whole below four bytes; of longer ones, four bytes after any leading zero ones."""
     text = F.lower(F.hex(key))
     return F.when(F.octet_length(key) < 4, text).otherwise(F.substring(F.regexp_replace(text, "^(00)+", ""), 1, 8))
+
+
+def next_key(key: Column) -> Column:
+    """The next byte string of the same length in order; null for an empty one and for the last."""
+    spelled = F.hex(key)
+    head = F.regexp_replace(spelled, "(FF)+$", "")  # an even number of digits, so whole bytes
+    n = F.length(head)
+    raised = F.lpad(F.hex(F.conv(F.right(head, F.lit(2)), 16, 10).cast("long") + 1), 2, "0")
+    rest = F.repeat(F.lit("00"), ((F.length(spelled) - n) / 2).cast("int"))
+    return F.when(n > 0, F.unhex(F.concat(F.substring(head, F.lit(1), n - 2), raised, rest)))
