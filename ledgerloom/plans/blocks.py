@@ -241,6 +241,16 @@ def file_names(s: S, d: str) -> DataFrame:
     return v.files(s).select("kind", scalars.file_name(F.col("start"), F.col("end"), F.col("kind")).alias("name"))
 
 
+@query("files", """SELECT kind, name, total - 5 AS more FROM (SELECT kind, name, row_number() OVER (PARTITION BY kind ORDER BY name) AS place, count(*) OVER (PARTITION BY kind) AS total
+FROM (SELECT kind, printf('v1-%06d-%06d-%s.seg', start // 1000, "end" // 1000, kind) AS name FROM files)) WHERE place <= 5""")
+def list_files(s: S, d: str) -> DataFrame:
+    """The first five names of each kind, and how many more there are (negative: so many fewer than five)."""
+    names = file_names(s, d)
+    kinds = names.groupBy("kind").agg(F.count("*").alias("total"))
+    at = F.row_number().over(Window.partitionBy("kind").orderBy("name"))
+    return names.withColumn("at", at).where("at <= 5").join(kinds, "kind").select("kind", "name", (F.col("total") - 5).alias("more"))
+
+
 @query("", "SELECT e.event_id AS id, s.s_name AS name FROM events e LEFT JOIN supplier s ON s.s_suppkey = e.event_id")
 def entity_by_id(s: S, d: str) -> DataFrame:
     known = v.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))

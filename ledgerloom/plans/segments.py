@@ -245,6 +245,17 @@ def suffix_array(s: S, d: str) -> DataFrame:
     return each.withColumn("rank", rank.cast("long"))
 
 
+@query("", """SELECT word, rank, coalesce(len(list_filter(range(1, least(length(suffix), length(before)) + 1), lambda k: substr(suffix, 1, k) = substr(before, 1, k))), 0) AS common
+FROM (SELECT *, lag(suffix) OVER (PARTITION BY word ORDER BY rank) AS before FROM (SELECT p_name AS word, substr(p_name, i) AS suffix, row_number() OVER (PARTITION BY p_name ORDER BY encode(substr(p_name, i))) - 1 AS rank
+FROM (SELECT p_name, unnest(range(1, length(p_name) + 1)) AS i FROM (SELECT DISTINCT p_name FROM part))))""")
+def lcp(s: S, d: str) -> DataFrame:
+    """What each suffix has in common with the one before it in order; a word is a bounded group."""
+    before = F.lag("suffix").over(Window.partitionBy("word").orderBy("rank"))
+    both = suffix_array(s, d).withColumn("before", before)
+    same = F.filter(F.sequence(F.lit(1), F.least(F.length("suffix"), F.length("before"))), lambda k: F.left("suffix", k) == F.left("before", k))
+    return both.select("word", "rank", F.when(F.col("before").isNull(), 0).otherwise(F.size(same)).cast("long").alias("common"))
+
+
 @query("words", """SELECT ordinal, ((2 * "offset" + 2 * ordinal) // 65536) AS superstring, ((2 * "offset" + 2 * ordinal) // 65536) % 4 = 0 AS sampled FROM words""")
 def superstring_sampling(s: S, d: str) -> DataFrame:
     """Words are dealt to superstrings by the running size of their encoding; every fourth is sampled."""
