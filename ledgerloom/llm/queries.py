@@ -79,7 +79,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return similar.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_url_filters, op4_license_scan, op5_substring_dedup, op6_packing, op7_secret_scan, op8_line_dedup, op9_quality, op10_jaccard_join)}

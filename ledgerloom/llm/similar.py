@@ -30,6 +30,9 @@ SMALL = 32
 #: Pairs that a task remembers, so that it tells of each but once.
 REMEMBERED = 500_000
 
+#: Shingles of a component's texts that are held against each other at a time, about: larger components are cut in parts.
+TILE = 1 << 17
+
 #: Bytes of text hashed at a time; the arrays made of them are about forty times as large.
 RUN = 1 << 20
 
@@ -357,8 +360,91 @@ def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near, "a long, b long")
 
 
-def _rooted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, _id, n, root) for each row of rows, which have row ids."""
+def _tile(block: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a tile's rows (side, row, weight, set), the rows and the weight of those that each is linked to. All pairs are
+    verified on their sets, of two sides those across; sizes alone leave some out, which can't be linked."""
+    block = sorted(block, key=lambda b: (b[0], len(b[3])))
+    side, row, weight = (np.array([b[k] for b in block], np.int64) for k in range(3))
+    n = np.array([len(b[3]) // 8 for b in block], np.int64)
+    ends = np.concatenate(([0], np.cumsum(n)))
+    known, code = np.unique(np.frombuffer(b"".join(b[3] for b in block), np.uint64), return_inverse=True)
+    split = int(np.searchsorted(side, side[0], "right"))
+    whole = split == len(block)  # one side: each row meets those after it
+    begin, other = (0, n) if whole else (split, n[split:])
+    marked, links = np.zeros(len(known), np.int32), np.zeros(len(block), np.int64)
+    for i in range(split):
+        low = i + 1 if whole else begin + int(np.searchsorted(other * 100, n[i] * LEAST_PERCENT, "left"))
+        high = begin + int(np.searchsorted(other * LEAST_PERCENT, n[i] * 100, "right"))
+        if low >= high:
+            continue
+        own = code[ends[i] : ends[i + 1]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[code[ends[low] : ends[high]]], ends[low:high] - ends[low]).astype(np.int64)
+        marked[own] = 0
+        at = low + np.flatnonzero(100 * common >= LEAST_PERCENT * (n[i] + n[low:high] - common))
+        links[i] += weight[at].sum()
+        links[at] += weight[i]
+    return row, links
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (comp, part_a, part_b, side, row, weight, set) sorted by the first three: (row, links), see _tile."""
+    block, own, rows, links = [], None, [], []
+
+    def told() -> pa.RecordBatch:
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, links)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["row", "links"])
+
+    def close() -> None:
+        for x, kept in zip(_tile(block), (rows, links), strict=True):
+            kept.append(x)
+
+    for batch in batches:
+        for comp, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("comp", "part_a", "part_b", "side", "row", "weight", "set")), strict=True):
+            if (comp, a, b) != own and block:
+                close()
+                block = []
+            own = (comp, a, b)
+            block.append(member)
+        yield told()
+        rows, links = [], []
+    if block:
+        close()
+    yield told()
+
+
+def _n_links(texts: DataFrame, member: DataFrame, joined: DataFrame) -> DataFrame:
+    """(rep, n_links) for each class: of one of its rows, the other rows that are linked to it.
+
+    Every link lies within a component. So the classes of each component of several are verified pair by pair, in tiles
+    of two parts of the component; a tile gives a count for each class and no pair.
+    """
+    weights = written(member.groupBy("rep").agg(F.count("*").alias("weight"), F.first("n").alias("n")), "weights")
+    placed = joined.select(F.col("node").alias("_r"), F.col("root").alias("comp")).unionByName(joined.select(F.col("root").alias("_r"), F.col("root").alias("comp")).distinct())
+    placed = written(placed.join(weights, F.col("_r") == F.col("rep")).select("_r", "comp", "weight", "n"), "placed")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / TILE)).cast("int")
+    parts = written(placed.groupBy("comp").agg(parts.alias("parts")), "parts")
+    placed = placed.join(parts, "comp").select("_r", "comp", "weight", "parts", F.pmod(F.xxhash64("_r"), F.col("parts")).cast("int").alias("own"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text", RUN):
+                codes, offsets = shingle_sets(part.column("_text"))
+                packed = pa.array([codes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "comp", "weight", "parts", "own")), packed], ["row", "comp", "weight", "parts", "own", "set"])
+
+    sets = texts.join(placed, F.col(ROW_ID) == F.col("_r")).select(F.col(ROW_ID).alias("row"), "comp", "weight", "parts", "own", "_text")
+    sets = sets.mapInArrow(made, "row long, comp long, weight long, parts int, own int, set binary")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
+    tiles = sets.select("comp", "own", "row", "weight", "set", F.explode(meets).alias("m")).select("comp", "m.*", F.col("own").alias("side"), "row", "weight", "set")
+    found = tiles.repartition("comp", "part_a", "part_b").sortWithinPartitions("comp", "part_a", "part_b").mapInArrow(_tiles, "row long, links long")
+    found = found.groupBy("row").agg(F.sum("links").alias("links"))
+    counted = weights.join(found, F.col("rep") == F.col("row"), "left").select("rep", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return written(counted, "n-links")
+
+
+def _rooted(rows: DataFrame, id_col: str, text_col: str, count: bool = False) -> DataFrame:
+    """(row, _id, n, root) for each row of rows, which have row ids; with count also n_links."""
     texts = rows.select(ROW_ID, F.col(text_col).alias("_text"))
     id_type = rows.schema[id_col].dataType.simpleString()
     described = rows.select(ROW_ID, F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_described, f"{ROW_ID} long, _id {id_type}, n long, d1 long, d2 long, sketch binary")
@@ -405,14 +491,16 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
             break
         held = held.join(more, "key", "left_semi").select("key", "row")
 
-    return member.join(joined, F.col("rep") == F.col("node"), "left").select("row", "_id", "n", F.coalesce("root", "rep").alias("root"))
+    rooted = member.join(joined, F.col("rep") == F.col("node"), "left").select("row", "_id", "n", "rep", F.coalesce("root", "rep").alias("root"))
+    return rooted.join(_n_links(texts, member, joined), "rep").drop("rep") if count else rooted.drop("rep")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_shingles and component_id, the smallest id reachable by links.
+    """docs with n_shingles, n_links, the number of other rows linked to it, and component_id, the smallest id reachable
+    by links.
 
     Texts with equal sets are one class, and its first row stands for it. Classes are linked in two steps, both exact
-    where they find something:
+    where they find something, and then counted in a third:
 
     1. All rows of a part key (see part_keys) are held against its first row. Nearly all near copies are joined here,
        at one pair per row and first row however large the group.
@@ -423,20 +511,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Allowed pairs are verified on the sets themselves. Any two linked sets have a key in common, so a link between
     components of step 1 is found in step 2: no link between components is lost.
 
+    3. The links within the components, which the steps before needn't all find, are counted by verifying all classes of
+       each component against each other (see _n_links). one_of_each needs no counts and leaves this out.
+
     A key's rows are gathered within each run of rows before the shuffle and streamed after it; a group larger than
     BLOCK is compared as pairs of blocks in tasks of their own.
 
-    Defined cases: a null or empty text has n_shingles 0 and its own id; so has any text that nothing links to; equal
+    Defined cases: a null or empty text has n_shingles 0, no links and its own id; so has any text that nothing links to; equal
     texts are linked, also of fewer than SHINGLE words; rows with one id are rows of their own that share the id; null
     ids count for nothing in the smallest id, which is null in a component without any; an empty table gives an empty
-    one; other columns pass through, but for n_shingles and component_id.
+    one; other columns pass through, but for n_shingles, n_links and component_id.
     """
-    names = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
+    names = [c for c in docs.columns if c not in ("n_shingles", "n_links", "component_id")]
     rows = with_row_id(docs)
-    rooted = _rooted(rows, id_col, text_col)
+    rooted = _rooted(rows, id_col, text_col, count=True)
     least = rooted.groupBy("root").agg(F.min("_id").alias("_least"))
-    named = rooted.join(least, "root").select(F.col("row").alias("_row"), F.col("n").alias("_n"), "_least")
-    return rows.join(named, F.col(ROW_ID) == F.col("_row")).select(*names, F.col("_n").alias("n_shingles"), F.col("_least").alias("component_id"))
+    named = rooted.join(least, "root").select(F.col("row").alias("_row"), F.col("n").alias("_n"), F.col("n_links").alias("_links"), "_least")
+    return rows.join(named, F.col(ROW_ID) == F.col("_row")).select(*names, F.col("_n").alias("n_shingles"), F.col("_links").alias("n_links"), F.col("_least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -268,6 +268,24 @@ def test_jaccard_join_by_brute_force(spark, rows, monkeypatch):
     assert similar.near_duplicates(plain(spark).limit(0)).count() == 0
 
 
+def brute_links(rows):
+    upper = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, text, *_ in rows:
+        w = (text or "").encode().translate(upper).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    return collections.Counter((r[0], sum(linked(a, b) for j, b in enumerate(sets) if i != j)) for i, (r, a) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize("tile", [1 << 17, 600], ids=["whole", "parts"])
+@pytest.mark.parametrize("rows", [ROWS, edited_copies(), edited_copies(60) * 2], ids=["edge cases", "edited copies", "repeated"])
+def test_all_links_are_counted(spark, rows, tile, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", tile)
+    got = collections.Counter((r["doc_id"], r["n_links"]) for r in similar.near_duplicates(plain(spark, rows)).collect())
+    assert got == brute_links(rows)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(7)
     for _ in range(100):
