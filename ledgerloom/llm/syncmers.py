@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 #: What stands between words, and a run that is cut so that scripts without blanks have several words.
 BLANKS, LONG, MOST_CHARS = r"[\x20\x09-\x0D]+", r"([^\x20\x09-\x0D]{32})", 32
 
-#: A fingerprint keeps the so many anchors with the smallest hashes, over the whole text.
-MOST_ANCHORS = 256
-
 #: Texts of fewer code points have anchors over characters besides.
 SHORT = 900
 
@@ -54,7 +51,7 @@ def anchors(tokens: Column) -> Column:
         hashes = F.transform(t, lambda x: F.xxhash64(x))
         found = _bind(_bind(_bind(hashes, pair(1)), from_pairs), first_of_each)
         whole = F.array(F.xxhash64(F.array_join(t, " ")).bitwiseAND(high))
-        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(_bind(found, lambda a: F.when(F.size(a) == 0, whole).otherwise(F.slice(a, 1, MOST_ANCHORS))))
+        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(_bind(found, lambda a: F.when(F.size(a) == 0, whole).otherwise(a)))
 
     return _bind(tokens, of)
 
@@ -75,19 +72,13 @@ def as_string(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two fingerprints' anchor hashes (0 to 1): over characters if both are short.
-
-    Of two whole anchor sets it is exact; where one of them was cut to MOST_ANCHORS, it is the share of common ones
-    among the MOST_ANCHORS smallest of both.
-    """
+    """Jaccard similarity of two fingerprints' anchor hashes (0 to 1), all of them: over characters if both are short."""
 
     def of(x: Column, y: Column) -> Column:
         hashes = lambda v: F.transform(v, lambda h: F.shiftright(h, POSITION_BITS))
         both, either = F.array_intersect(hashes(x), hashes(y)), F.array_union(hashes(x), hashes(y))
-        cut = (F.size(x) >= MOST_ANCHORS) | (F.size(y) >= MOST_ANCHORS)
-        small = lambda u: F.size(F.array_intersect(u, both)) / F.size(u)
-        estimate = F.when(cut, _bind(F.slice(F.sort_array(either), 1, MOST_ANCHORS), small)).otherwise(F.size(both) / F.greatest(F.size(either), F.lit(1)))
-        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(estimate)
+        share = F.size(both) / F.greatest(F.size(either), F.lit(1))
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(share)
 
     return F.when(a["c"].isNotNull() & b["c"].isNotNull(), of(a["c"], b["c"])).otherwise(of(a["w"], b["w"])).cast("double")
 

@@ -112,6 +112,17 @@ def test_closed_syncmers_by_brute_force(spark):
     assert {a >> 20 for a in got} == picked
 
 
+def test_long_texts_keep_all_anchors(spark):
+    """Two long texts share a passage of sixty words, at different places; likeness is the exact share."""
+    shared = [f"p{i}" for i in range(60)]
+    a, b = ([*[f"{x}{i}" for i in range(n)], *shared, *[f"{x}{i}" for i in range(n, 9000)]] for x, n in (("a", 6000), ("b", 3000)))
+    df = spark.createDataFrame([(" ".join(a), " ".join(b), " ".join(shared))], "a string, b string, s string").select(*[syncmers.fingerprint(F.col(c)).alias(c) for c in "abs"])
+    got = df.select("*", syncmers.likeness(F.col("a"), F.col("b")).alias("near")).first()
+    x, y, s = ({h >> 20 for h in got[c]["w"]} for c in "abs")
+    assert len(x) > 2000 and len(s) > 5 and s <= x & y
+    assert got["near"] == len(x & y) / len(x | y)
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.net/en/x?y"), (2, "https://net/"), (3, "https://net"), (4, None), (5, "no scheme"), (6, "ftp://sub.example.com/de/"), (6, "ftp://sub.example.com/de/"), (7, "x://q.org/fr/a#/b"), (8, "http://badexample.net/en/")], "page_id long, url string")
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(pages.withColumn("html", F.lit("h"))).collect())
