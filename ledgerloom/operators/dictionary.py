@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A pattern of the dictionary has so many bytes at least.
-SHORTEST = 5
+#: A pattern of the dictionary has so many bytes at least, and at most.
+SHORTEST, LONGEST = 5, 128
 
 
 def aggregate(patterns: DataFrame, word: str = "word", score: str = "score") -> DataFrame:
@@ -121,5 +124,71 @@ def cover_words(words: DataFrame, key: str, word: str, dictionary: dict[bytes, i
     return words.select(key, word).mapInPandas(covered, f"{key} {kind}, at int, pattern binary")
 
 
+def places(text: bytes, dictionary: dict[bytes, int], heads: dict[bytes, list[int]], known: np.ndarray) -> list[int]:
+    """Where the patterns of cover(text, dictionary) start, for patterns of SHORTEST bytes or more: only places that
+    begin like a pattern are looked at. heads and known are those of _heads(dictionary)."""
+    if len(text) < SHORTEST:
+        return []
+    starts = np.flatnonzero(known[_codes(np.frombuffer(text, np.uint8))]).tolist()
+    best: list[tuple[int, int]] = [(0, 0)] * (len(starts) + 1)
+    choice: list[int] = [0] * len(starts)
+    for j in range(len(starts) - 1, -1, -1):
+        i, best[j] = starts[j], best[j + 1]
+        for k in heads.get(text[i : i + SHORTEST], ()):
+            if (score := dictionary.get(text[i : i + k])) is not None and i + k <= len(text):
+                after = best[bisect.bisect_left(starts, i + k, j + 1)]
+                gain = (after[0] + k - 4, after[1] + score)
+                if gain > best[j]:
+                    best[j], choice[j] = gain, k
+    found, reach = [], 0
+    for i, k in zip(starts, choice, strict=True):
+        if k and i >= reach:
+            found.append(i)
+            reach = i + k
+    return found
+
+
+def _codes(chars: np.ndarray) -> np.ndarray:
+    """16 bits for each run of SHORTEST bytes."""
+    n = len(chars) - SHORTEST + 1
+    code = np.zeros(n, np.uint32)
+    for k in range(SHORTEST):
+        code = code * np.uint32(0x9E3779B1) + chars[k : k + n]
+    return code * np.uint32(0x85EBCA6B) >> np.uint32(16)
+
+
+def _heads(dictionary: dict[bytes, int]) -> tuple[dict[bytes, list[int]], np.ndarray]:
+    """The lengths of the patterns that begin with the same bytes; a table of the codes of such beginnings."""
+    heads: dict[bytes, list[int]] = {}
+    known = np.zeros(1 << 16, bool)
+    for p in dictionary:
+        lengths = heads.setdefault(p[:SHORTEST], [])
+        if len(p) not in lengths:
+            lengths.append(len(p))
+            lengths.sort()
+        known[_codes(np.frombuffer(p[:SHORTEST], np.uint8))] = True
+    return heads, known
+
+
+def position_uses(words: DataFrame, word: str, dictionary: dict[bytes, int]) -> DataFrame:
+    """(pos, uses): of each word its bytes plus one, the end mark 0, and for every pattern of its cover the start
+    relative to the one before, plus one. Patterns have SHORTEST bytes at least; a task counts before the shuffle."""
+    heads, known = _heads(dictionary)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uses: Counter[int] = Counter()
+        for pdf in batches:
+            for w in pdf[word]:
+                w, last = bytes(w), 0
+                uses[len(w) + 1] += 1
+                uses[0] += 1
+                for at in places(w, dictionary, heads, known):
+                    uses[at - last + 1] += 1
+                    last = at
+        yield pd.DataFrame({"pos": list(uses), "uses": list(uses.values())}, dtype="int64")
+
+    return words.select(word).mapInPandas(counted, "pos long, uses long").groupBy("pos").agg(F.sum("uses").alias("uses"))
+
+
 def ratio(raw: Column, packed: Column) -> Column:
     return F.format_number(raw / packed, 2)

@@ -200,6 +200,15 @@ def position_histogram(s: S, d: str) -> DataFrame:
     return words.select(F.posexplode(lists).alias("_i", "pos")).where((F.col("_i") < 2) | (F.col("pos") > 0)).groupBy("pos").agg(F.count("*").alias("uses"))
 
 
+@query()
+def cover_position_histogram(s: S, d: str) -> DataFrame:
+    """Uses of the position symbols when whole texts are covered by the words of the benchmark: all matches count."""
+    tokens = v.table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.octet_length("word").between(dictionary.SHORTEST, dictionary.LONGEST))
+    best = tokens.groupBy("word").agg(F.count("*").alias("score"))
+    patterns = {r["word"].encode(): int(math.log2(1 + r["score"])) for r in best.collect()}
+    return dictionary.position_uses(v.table(s, d, "documents").select(F.encode("text", "utf-8").alias("word")), "word", patterns)
+
+
 @query("words", """SELECT gram, sum(n)::BIGINT AS repeats, count(*) AS holders FROM (
   SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))) AS gram FROM (SELECT doc_id, string_split(text, ' ') AS t FROM words)) GROUP BY 1, 2)
 GROUP BY gram HAVING sum(n) > 1""")

@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -82,3 +83,20 @@ def test_code_lengths_are_a_full_tree():
 def test_cover_prefers_what_saves_most():
     assert dictionary.cover(b"longlongword", {b"longlong": 1, b"longword": 1, b"longlongword": 1}) == [(0, b"longlongword")]
     assert dictionary.cover(b"abc", {b"abc": 100}) == []
+
+
+def test_positions_of_every_match_are_counted(spark):
+    rng = random.Random(3)
+    patterns = {bytes(rng.choice(b"ab") for _ in range(n)): n % 3 for n in [5, 5, 5, 6, 7, 7, 8, 11]}
+    texts = [bytes(rng.choice(b"aabbc") for _ in range(n)) for n in (0, 3, 5, 40, 400, 3000)]
+    expected = collections.Counter()
+    for t in texts:
+        last = 0
+        expected[len(t) + 1] += 1
+        expected[0] += 1
+        for at, _ in dictionary.cover(t, patterns):
+            expected[at - last + 1] += 1
+            last = at
+    got = dictionary.position_uses(spark.createDataFrame([(t,) for t in texts], "word binary"), "word", patterns).collect()
+    assert {r["pos"]: r["uses"] for r in got} == expected
+    assert sum(expected.values()) > 100 + 2 * len(texts)
