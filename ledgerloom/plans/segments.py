@@ -33,6 +33,12 @@ def word_scan_raw(s: S, d: str) -> DataFrame:
     return v.words(s, d).select("ordinal", hexed(F.encode(F.substring("text", 1, 16), "utf-8")).alias("head"), "length")
 
 
+@query("words", "SELECT ordinal, text AS word, length FROM words WHERE ordinal % 3 = 0")
+def word_scan_uncompressed(s: S, d: str) -> DataFrame:
+    """The whole words of those that raw_words marks to stay as they are."""
+    return v.words(s, d).where(F.col("ordinal") % 3 == 0).select("ordinal", F.col("text").alias("word"), "length")
+
+
 @query("words", "SELECT ordinal, length FROM words")
 def word_skip_lengths(s: S, d: str) -> DataFrame:
     return v.words(s, d).select("ordinal", "length")

@@ -18,3 +18,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_uncompressed_words_come_back_whole(spark):
+    raw = {r["ordinal"] for r in QUERIES["raw_words"](spark, oracle.DATA).withColumnRenamed("order", "ordinal").where("NOT compressed").collect()}
+    got = QUERIES["word_scan_uncompressed"](spark, oracle.DATA).collect()
+    assert {r["ordinal"] for r in got} == raw
+    assert all(len(r["word"].encode()) == r["length"] for r in got) and max(r["length"] for r in got) > 16
