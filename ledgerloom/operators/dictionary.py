@@ -20,6 +20,18 @@ def aggregate(patterns: DataFrame, word: str = "word", score: str = "score") ->
     return patterns.groupBy(word).agg(F.sum(score).alias("score"))
 
 
+def pieces(words: DataFrame) -> DataFrame:
+    """(word, score): every piece of SHORTEST to LONGEST bytes of the words, with its bytes times the scores of the words
+    that hold it, once for each place."""
+    def ends(at: Column) -> Column:
+        most = F.least(F.length("word") - at + 1, F.lit(LONGEST))
+        return F.transform(F.sequence(F.lit(1), most), lambda n: F.substring(F.col("word"), at, n))
+
+    each = words.where(F.length("word") > 0).select("score", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), ends))).alias("word"))
+    each = each.where(F.octet_length("word").between(SHORTEST, LONGEST))
+    return each.groupBy("word").agg((F.sum("score") * F.octet_length(F.col("word"))).alias("score"))
+
+
 def top(patterns: DataFrame, n: int) -> DataFrame:
     """The n patterns of the highest scores; of equal scores the larger word first."""
     return patterns.orderBy(F.col("score").desc(), F.col("word").desc()).limit(n)

@@ -287,8 +287,8 @@ def huffman_depths(s: S, d: str) -> DataFrame:
 
 @query()
 def cover_words(s: S, d: str) -> DataFrame:
-    """The cover of all part names by a dictionary of a thousand patterns at most."""
-    best = dictionary.top(dict_aggregate(s, d).select(F.substring("word", 1, 6).alias("word"), "score").groupBy("word").agg(F.sum("score").alias("score")), 1000)
+    """The cover of all part names by a dictionary of a thousand patterns at most, taken from anywhere in the names."""
+    best = dictionary.top(dictionary.pieces(dict_aggregate(s, d)), 1000)
     patterns = {r["word"].encode(): int(math.log2(1 + r["score"])) for r in best.collect()}
     return dictionary.cover_words(v.table(s, d, "part").select("p_partkey", F.encode("p_name", "utf-8").alias("word")), "p_partkey", "word", patterns)
 

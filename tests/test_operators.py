@@ -100,3 +100,14 @@ def test_positions_of_every_match_are_counted(spark):
     got = dictionary.position_uses(spark.createDataFrame([(t,) for t in texts], "word binary"), "word", patterns).collect()
     assert {r["pos"]: r["uses"] for r in got} == expected
     assert sum(expected.values()) > 100 + 2 * len(texts)
+
+
+def test_pieces_come_from_anywhere_in_the_words(spark):
+    words = {"longlongword": 3, "xlongwordx": 4, "abc": 9, "": 1}
+    expected = collections.Counter()
+    for w, score in words.items():
+        for i in range(len(w)):
+            for k in range(i + 5, len(w) + 1):
+                expected[w[i:k]] += score * (k - i)
+    got = dictionary.pieces(spark.createDataFrame(list(words.items()), "word string, score long")).collect()
+    assert {r["word"]: r["score"] for r in got} == expected

@@ -25,3 +25,7 @@ def test_uncompressed_words_come_back_whole(spark):
     got = QUERIES["word_scan_uncompressed"](spark, oracle.DATA).collect()
     assert {r["ordinal"] for r in got} == raw
     assert all(len(r["word"].encode()) == r["length"] for r in got) and max(r["length"] for r in got) > 16
+
+
+def test_cover_uses_patterns_of_all_lengths(spark):
+    assert {len(r["pattern"]) for r in QUERIES["pattern_uses"](spark, oracle.DATA).collect()} - {5, 6}
