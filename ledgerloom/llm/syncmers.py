@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What stands between words, and a run that is cut so that scripts without blanks have several words.
-BLANKS, LONG, MOST_CHARS = r"[\x20\x09-\x0D]+", r"([^\x20\x09-\x0D]{32})", 32
+#: What stands between words, and the longest run that is a word: each character of a longer one is a token, so that in
+#: scripts without blanks, too, an edit moves no anchor elsewhere.
+BLANKS, MOST_CHARS = r"[\x20\x09-\x0D]+", 32
 
 #: Texts of fewer code points have anchors over characters besides.
 SHORT = 900
@@ -60,8 +61,10 @@ def fingerprint(text: Column) -> Column:
     """struct(w, c): anchors over words and, below SHORT code points, over characters (else null). Null is empty."""
     text = F.coalesce(text, F.lit(""))
     chars = F.when(F.length(text) < SHORT, anchors(F.array_remove(F.split(text, "", -1), "")))
-    split = lambda t: F.array_remove(F.split(t, BLANKS, -1), "")
-    words = _bind(split(text), lambda w: F.when(F.exists(w, lambda x: F.length(x) > MOST_CHARS), split(F.regexp_replace(text, LONG, "$1 "))).otherwise(w))
+    letters = lambda x: F.array_remove(F.split(x, "", -1), "")
+    long = lambda x: F.length(x) > MOST_CHARS
+    tokens = lambda w: F.flatten(F.transform(w, lambda x: F.when(long(x), letters(x)).otherwise(F.array(x))))
+    words = _bind(F.array_remove(F.split(text, BLANKS, -1), ""), lambda w: F.when(F.exists(w, long), tokens(w)).otherwise(w))
     return F.struct(anchors(words).alias("w"), chars.alias("c"))
 
 

@@ -123,6 +123,14 @@ def test_long_texts_keep_all_anchors(spark):
     assert got["near"] == len(x & y) / len(x | y)
 
 
+def test_an_inserted_character_moves_no_anchor_of_a_run_without_blanks(spark):
+    rng = np.random.default_rng(11)
+    run = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 4000))
+    df = spark.createDataFrame([(run, run[:3] + "\u4e00" + run[3:])], "a string, b string")
+    near = syncmers.likeness(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b")))
+    assert df.select(near.alias("near")).first()["near"] > 0.95
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.net/en/x?y"), (2, "https://net/"), (3, "https://net"), (4, None), (5, "no scheme"), (6, "ftp://sub.example.com/de/"), (6, "ftp://sub.example.com/de/"), (7, "x://q.org/fr/a#/b"), (8, "http://badexample.net/en/")], "page_id long, url string")
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(pages.withColumn("html", F.lit("h"))).collect())
