@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROW_ID = "_row_id"
 
 #: Logical nodes that give the same rows in the same partitions and order whenever they run.
-STABLE_NODES = {"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "Union", "RelationV2", "Range"}
+STABLE_NODES = {"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "Union", "Range"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,12 +38,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Folders of the tables that written() has made and nobody has dropped yet.
+TABLES: list[str] = []
+
+
+def _in_store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no more than its own tasks."""
+    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no more than its own tasks.
+
+    The table goes with the application, or before that by dropping() and by drop().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, at = _in_store(spark, path)
+    store.deleteOnExit(at)
+    TABLES.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._table)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in TABLES:
+        TABLES.remove(path)
+        store, at = _in_store(spark, path)
+        store.delete(at, True)
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables written inside, but for the folders that the list given is filled with."""
+    before, kept = set(TABLES), []
+    yield kept
+    for path in [p for p in TABLES if p not in before and p not in kept]:
+        _delete(spark, path)
 
 
 def stable(df: DataFrame) -> DataFrame:
