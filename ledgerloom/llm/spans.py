@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, hash_words, mix, slices, split_words, with_row_id, written
+from .common import ROW_ID, drop, hash_words, mix, slices, split_words, with_row_id, written
 
 WINDOW = 35
 
@@ -131,11 +131,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _range_batch(got) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(3)], [ROW_ID, "s", "e"])
+    return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(3)], [ROW_ID, "_s", "_e"])
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
-    """(row id, s, e): ranges of words covered by windows that start more than once. rows: row id and _text, no more."""
+    """(row id, _s, _e): ranges of words covered by windows that start more than once. rows: row id and _text, no more."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,21 +147,24 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     runs = written(rows.mapInArrow(cut, f"{ROW_ID} long, start long, n long, mini long, digest long, repeats boolean"), "runs")
     held = runs.groupBy("mini").agg(F.count("*").alias("times"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("repeats").alias("any"))
     held = held.where((F.col("times") > 1) | F.col("any")).select("mini", ((F.col("times") > 1) & (F.col("lo") == F.col("hi"))).alias("alike"))
+    # Both sides of the joins here are written tables: adaptive execution splits a hot minimiser or digest.
+    held = written(held, "minimisers")
     again = written(runs.join(held, "mini").drop("repeats"), "runs")
+    drop(runs, held)
     end = F.col("start") + F.col("n") + (WINDOW - 1)
-    whole = again.where("alike").select(ROW_ID, F.col("start").alias("s"), end.alias("e"))
+    whole = again.where("alike").select(ROW_ID, F.col("start").alias("_s"), end.alias("_e"))
 
     mixed = again.where(~F.col("alike"))
-    strings = mixed.groupBy("mini", "digest").agg(F.count("*").alias("times"), F.min(F.struct(ROW_ID, "start", "n")).alias("first"))
-    copied = mixed.join(strings.where("times > 1").select("mini", "digest"), ["mini", "digest"]).select(ROW_ID, F.col("start").alias("s"), end.alias("e"))
+    strings = written(mixed.groupBy("mini", "digest").agg(F.count("*").alias("times"), F.min(F.struct(ROW_ID, "start", "n")).alias("first")), "strings")
+    copied = mixed.join(strings.where("times > 1").select("mini", "digest"), ["mini", "digest"]).select(ROW_ID, F.col("start").alias("_s"), end.alias("_e"))
     large = strings.groupBy("mini").agg(F.sum("first.n").alias("windows")).where(F.col("windows") > MOST_IN_BUCKET)
-    large = large.select(F.col("mini").alias("_mini"), F.ceil(F.col("windows") / MOST_IN_BUCKET).alias("_parts"))
+    large = written(large.select(F.col("mini").alias("_mini"), F.ceil(F.col("windows") / MOST_IN_BUCKET).alias("_parts")), "large-buckets")
     cuts = strings.join(large, F.col("mini") == F.col("_mini"), "left").select(
         F.col(f"first.{ROW_ID}").alias("_row"), F.struct("mini", F.col("first.start").alias("start"), F.col("first.n").alias("n"), (F.col("times") == 1).alias("single"), F.coalesce("_parts", F.lit(1)).alias("parts")).alias("cut")
     )
     cuts = cuts.groupBy("_row").agg(F.collect_list("cut").alias("cuts"))
     packed = rows.join(cuts, F.col(ROW_ID) == F.col("_row")).mapInArrow(_packed, "mini long, part long, row long, start long, single boolean, packed binary")
-    counted = packed.repartition("mini", "part").sortWithinPartitions("mini", "part").mapInArrow(_counted, f"{ROW_ID} long, s long, e long")
+    counted = packed.repartition("mini", "part").sortWithinPartitions("mini", "part").mapInArrow(_counted, f"{ROW_ID} long, _s long, _e long")
     return whole.unionByName(copied).unionByName(counted)
 
 
@@ -181,13 +184,14 @@ def drop_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     window, so that no task holds more. Runs longer than MOST_IN_STRING are cut. Texts are dealt by row once.
 
     Defined cases: null and empty texts have no words; texts of fewer than WINDOW words lose nothing; repeated rows are
-    repeats of each other; an empty table gives an empty one; other columns pass through, but for n_words, n_removed
-    and kept.
+    repeats of each other; ids play no part, so null and repeated ones pass through; a very long text is a run of its own
+    in memory and its windows are dealt like all others; an empty table gives an empty one; other columns pass through,
+    but for n_words, n_removed and kept.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     rows = with_row_id(docs)
     texts = rows.select(ROW_ID, F.col(text_col).alias("_text"))
-    found = repeated_ranges(texts).groupBy(F.col(ROW_ID).alias("_row")).agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    found = repeated_ranges(texts).groupBy(F.col(ROW_ID).alias("_row")).agg(F.collect_list("_s").alias("_s"), F.collect_list("_e").alias("_e"))
     joined = rows.select(ROW_ID, *names).join(found, F.col(ROW_ID) == F.col("_row"), "left").drop(ROW_ID, "_row")
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
@@ -195,7 +199,7 @@ def drop_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, text_col):
                 total, removed, kept = [], [], []
-                for text, s, e in zip(part.column(text_col), part.column("s"), part.column("e"), strict=True):
+                for text, s, e in zip(part.column(text_col), part.column("_s"), part.column("_e"), strict=True):
                     words = (text.as_py() or "").encode().split()
                     total.append(len(words))
                     gone = 0
