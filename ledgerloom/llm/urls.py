@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, others
+from .common import ascii_lower, others, written
 
 #: (host, path, verdict); the rule's text is host + path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -50,8 +50,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     meet the expressions in a shuffled join over `salts` parts of each prefix. URLs are distinct before that, so a URL
     in a third of the rows is one row per task.
 
-    Defined cases: a null URL or one without `://` has an empty host and path and no rule; repeated rows stay; an empty
-    table gives an empty one; a rule listed twice counts once, with block before allow; null rules never fit; columns of pages
+    Defined cases: a null URL or one without `://` has an empty host and path and no rule; repeated rows and null ids
+    stay; a very long URL has no more expressions than the rules have labels and directories, so its work is in proportion
+    to its length; an empty table gives an empty one; a rule listed twice counts once, with block before allow; null rules never fit; columns of pages
     named as the results are left out.
     """
     spark = pages.sparkSession
@@ -87,6 +88,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     best = fits.groupBy("_url").agg(
         F.max(F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_verdict").alias("v"), F.concat("r_host", "r_path").alias("rule"))).alias("_best")
     )
+    # Both sides come straight from a shuffle, so that adaptive execution can split a URL, or null, of very many rows.
+    best = written(best, "judged-urls")
     return pages.join(best, pages[url_col] == best["_url"], "left").select(
         *[pages[c] for c in others(pages, "host", "path", "rule", "verdict")],
         host_of(pages[url_col]).alias("host"),
