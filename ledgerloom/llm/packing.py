@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -22,6 +23,9 @@ SEQUENCE = 4096
 #: A document's vector is projected to so many dimensions, each of so many bits on the curve.
 DIMENSIONS, BITS = 3, 12
 
+#: Bytes of ids in a range of the curve, about.
+RANGE_BYTES = 64 << 20
+
 #: Distinct words whose ids a worker keeps at most.
 MOST_WORDS = 600_000
 
@@ -230,7 +234,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     their lengths are powers of two: nothing is padded.
 
     Defined cases: a null or empty text is the end-of-document token alone; repeated rows are packed each; null ids
-    stay; a very long document runs through as many sequences as it needs; an empty table gives an empty one.
+    stay; a very long document runs through as many sequences as it needs; documents of one key follow each other by
+    row; an empty table gives an empty one; columns besides id and text are left out.
     """
     path = tokenizer or default_tokenizer()
     vocabulary = Encoder(path).tokenizer.get_vocab_size()
@@ -246,12 +251,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 key = hilbert_key(cells_of(sums, np.diff(at)))
                 ids = ids.astype(width)
                 packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(ROW_ID), part.column("doc_id"), pa.array(key, pa.int64()), packed.cast(pa.binary())], [ROW_ID, "doc_id", "hilbert", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(ROW_ID), part.column("doc_id"), pa.array(key, pa.int64()), pa.array(np.diff(at)), packed.cast(pa.binary())], [ROW_ID, "doc_id", "hilbert", "n", "ids"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    table = written(rows.mapInArrow(encoded, f"{ROW_ID} long, doc_id {id_type}, hilbert long, ids binary"), "tokens")
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = table.repartitionByRange(ranges, "hilbert", ROW_ID).sortWithinPartitions("hilbert", ROW_ID).withColumn("_range", F.spark_partition_id())
+    table = written(rows.mapInArrow(encoded, f"{ROW_ID} long, doc_id {id_type}, hilbert long, n long, ids binary"), "tokens")
+    # Ranges grow with the data: a task packs about RANGE_BYTES of ids, however large the table.
+    held = (table.agg(F.sum("n")).first()[0] or 0) * np.dtype(width).itemsize
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held / RANGE_BYTES))
+    dealt = table.drop("n").repartitionByRange(ranges, "hilbert", ROW_ID).sortWithinPartitions("hilbert", ROW_ID).withColumn("_range", F.spark_partition_id())
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[int, tuple] = {}
