@@ -18,8 +18,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.fingerprint_documents(read(spark, sf_dir, "documents"))
-    hashes = lambda c: F.transform(F.col(c)["w"], lambda x: x)
-    shared = F.size(F.array_intersect(F.transform(F.col("print.w"), lambda h: F.shiftright(h, 20)), F.transform(F.col("edited_print.w"), lambda h: F.shiftright(h, 20))))
     return found.select(
         "doc_id",
         "n_chars",
@@ -28,8 +26,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         syncmers.as_string(F.col("edited_print")).alias("edited_fingerprint"),
         syncmers.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         syncmers.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
-        # Positional matching: of the word anchors that both have, the share that stands at the same place.
-        (F.size(F.array_intersect(hashes("print"), hashes("edited_print"))) / F.greatest(shared, F.lit(1))).alias("aligned_edited"),
+        # Positional matching: of the anchors that both have, the share that stands at the same place.
+        syncmers.aligned(F.col("print"), F.col("edited_print")).alias("aligned_edited"),
     )
 
 
@@ -63,6 +61,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.span_text(F.col("spans")).alias("spans"),
         n(lambda s: s["verdict"] == "live").alias("n_live"),
         n(lambda s: s["verdict"] == "example").alias("n_example"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["owners"])), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["repositories"])), F.lit(0)).alias("most_repositories"),
     )
 
 

@@ -27,10 +27,14 @@ KINDS = (
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}", True),
     Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, r"gh[pousr]_"),
     Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, r"xox[abprs]-"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 20, r"eyJ[A-Za-z0-9_-]{8}"),
+    # Only where a run of its characters begins: else each eyJ of a long run would look through the rest of it.
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 20, r"eyJ[A-Za-z0-9_-]{8}"),
     Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN "),
 )
 
+#: A value is an example if so many owners hold it; or if more than one do, in so many repositories together.
+SHARED_OWNERS, SHARED_REPOSITORIES = 3, 10
+
 #: A code point that stands for no character.
 MARK = "\ufdd0"
 
@@ -57,17 +61,20 @@ def _matches(text: Column, no: int, kind: Kind) -> Column:
     return F.when(text.rlike(kind.test), each).otherwise(F.lit(None))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", shared_owners: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
     """docs without the text, with spans (array of kind, start, end, owners, repositories, verdict), by start, then kind.
 
     Matches are found row by row. A match's place is the running sum of the lengths before it, a window within the
     row's own matches. Values travel as 128-bit hashes: for each, its repositories (ids) are made distinct, then
     counted by owner, then summed, so that a value copied into a third of the corpus is spread by repository first and
-    is one row per task after. A value that at least `shared_owners` owners hold is an `example`, all others are `live`.
-    Texts are never shuffled.
+    is one row per task after. A value that at least `shared_owners` owners hold is an `example`, and so is one of several
+    owners in at least `shared_repositories` repositories; all others, those of one owner in whatever number of its
+    repositories among them, are `live`. Only values of several repositories meet the spans again, from a written table,
+    so that a hot one is split. Texts are never shuffled.
 
     Defined cases: null text has no spans; rows with one id are one repository but keep their own spans; null ids are
-    one repository and null owners one owner; an empty table gives an empty one; other columns pass through.
+    one repository and null owners one owner; a very long text is searched whole, by patterns that take time in proportion
+    to it; an empty table gives an empty one; other columns pass through, but for spans.
     """
     rows = with_row_id(docs)
     text = F.col(text_col)
@@ -78,9 +85,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = matched.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).where(F.col("v") >= least)
     spans = written(spans.select(ROW_ID, "_repo", "_owner", "kind", "start", "end", "h1", "h2"), "secrets")
 
-    held = spans.groupBy("h1", "h2", "_owner", "_repo").count().groupBy("h1", "h2", "_owner").agg(F.count("*").alias("r"))
+    held = spans.groupBy("h1", "h2", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("h1", "h2", "_owner").agg(F.count("*").alias("r"))
     held = held.groupBy("h1", "h2").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
-    judged = spans.join(held, ["h1", "h2"]).withColumn("verdict", F.when(F.col("owners") >= shared_owners, "example").otherwise("live"))
+    held = written(held.where("repositories > 1"), "values")
+    judged = spans.join(held, ["h1", "h2"], "left").withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in ("owners", "repositories")})
+    copied = (F.col("owners") >= shared_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= shared_repositories))
+    judged = judged.withColumn("verdict", F.when(copied, "example").otherwise("live"))
     names = F.array(*[F.lit(k.name) for k in KINDS])
     one = F.struct("start", "kind", "end", F.element_at(names, F.col("kind") + 1).alias("name"), "owners", "repositories", "verdict")
     listed = judged.groupBy(F.col(ROW_ID).alias("_row")).agg(F.array_sort(F.collect_list(one)).alias("spans"))
