@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .licenses import LEAST_SHARE, TEMPLATES
-from .secrets import KINDS
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -23,24 +22,22 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best
 
 
 def _licenses() -> str:
-    def places(t):
-        words = t.phrase.split() + t.after.split()
-        n = len(t.phrase.split())
-        hit = [f"coalesce((w[i + {j}] = '{x}')::INT, 0)" for j, x in enumerate(words)]
-        whole = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(words[:n]))
-        return f"list_transform(list_filter(range(1, len(w) + 1), lambda i: coalesce({whole}, false) AND ({' + '.join(hit)}) >= {LEAST_SHARE} * {len(words)}), lambda i: struct_pack(at := i - 1, share := ({' + '.join(hit)}) / {len(words)}.0))"
-
-    cols = ",\n".join(f"{places(t)} AS t{k}" for k, t in enumerate(TEMPLATES))
-    base = " || ".join(f"list_transform(t{k}, lambda x: x.at)" for k, t in enumerate(TEMPLATES) if t.base)
-    label = lambda only: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN len(t{k}) > 0 THEN '{t.label}' END" for k, t in enumerate(TEMPLATES) if t.base or not only) + "], lambda x: x IS NOT NULL)), ',')"
-    shares = " || ".join(f"list_transform(t{k}, lambda x: x.share)" for k, _ in enumerate(TEMPLATES))
+    """Words meet the templates' words in a join; what a template has at one start is summed up. No index, no rare words."""
+    rows = ", ".join(f"({k}, '{t.label}', '{t.licence}', {t.base}, {j}, '{w}', {j in t.mandatory()})" for k, t in enumerate(TEMPLATES) for j, w in enumerate(t.words()))
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-p AS (SELECT doc_id, w, {cols} FROM d),
-b AS (SELECT *, {base} AS b FROM p)
-SELECT doc_id, len(w)::BIGINT AS n_words, len(b)::BIGINT AS n_base, list_min(b)::BIGINT AS first_word, list_max(b)::BIGINT AS last_word,
-  {label(True)} AS base_labels, {label(False)} AS labels, coalesce(list_max({shares}), 0)::DOUBLE AS score
-FROM b
+e AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d),
+t0(t, label, licence, base, j, w, must) AS (VALUES {rows}),
+f AS (SELECT w, count(DISTINCT doc_id) AS n FROM e WHERE w IN (SELECT w FROM t0) GROUP BY w),
+t1 AS (SELECT t0.*, greatest(1, floor(1000 * ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) + 0.5))::BIGINT AS x FROM t0 LEFT JOIN f USING (w)),
+s AS (SELECT t, any_value(label) AS label, any_value(licence) AS licence, any_value(base) AS base, sum(x) AS total, count(*) FILTER (WHERE must) AS musts FROM t1 GROUP BY t),
+l AS (SELECT licence, max(total) AS whole FROM s GROUP BY licence),
+h AS (SELECT doc_id, t, i - j AS pos, sum(x) AS held, count(*) FILTER (WHERE must) AS stood FROM e JOIN t1 USING (w) GROUP BY ALL),
+m AS (SELECT doc_id, pos, label, base, (held / whole)::DOUBLE AS share FROM h JOIN s USING (t) JOIN l USING (licence) WHERE stood = musts AND held >= {LEAST_SHARE} * total),
+g AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(pos) FILTER (WHERE base) AS first_word, max(pos) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(share) AS score FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(b, '') AS base_labels, coalesce(l, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
@@ -56,24 +53,38 @@ FROM j GROUP BY doc_id
 """
 
 
+#: Kind, pattern, the group of the match itself, the group of its value, the value's fewest characters. A token's pattern
+#: takes the character before it, too, since this dialect can't look behind.
+SECRETS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 0, 2, 6),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 0, 24),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, 40),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, 15),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1, 20),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, 1),
+)
+
+
 def _secrets() -> str:
-    def matches(no, k):
-        pattern = k.pattern.replace("'", "''")
-        return f"""SELECT doc_id, source, {no} AS kind, '{k.name}' AS name, {k.least} AS least, unnest(m) AS m, unnest(v) AS v, generate_subscripts(m, 1) AS i, m AS ms, p
-  FROM (SELECT doc_id, source, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {k.group}) AS v, string_split_regex(text, '{pattern}') AS p FROM documents)"""
+    def matches(no, name, pattern, whole, value, least):
+        pattern = pattern.replace("'", "''")
+        return f"""SELECT doc_id, source, {no} AS kind, '{name}' AS name, {least} AS least, unnest(c) AS m, unnest(v) AS v, unnest(m) AS t, generate_subscripts(m, 1) AS i, m AS ms, p
+  FROM (SELECT doc_id, source, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {whole}) AS c, regexp_extract_all(text, '{pattern}', {value}) AS v, string_split_regex(text, '{pattern}') AS p FROM documents)"""
 
-    every = " UNION ALL ".join(matches(no, k) for no, k in enumerate(KINDS))
+    every = " UNION ALL ".join(matches(no, *k) for no, k in enumerate(SECRETS))
     return f"""
 WITH a AS ({every}),
-s AS (SELECT doc_id, source, kind, name, v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s, length(m) AS n
+s AS (SELECT doc_id, source, kind, name, v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) + length(t) - length(m) AS s, length(m) AS n
   FROM a WHERE length(v) >= least),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM s GROUP BY v),
-j AS (SELECT s.*, owners, kind < 3 AS base, name || ':' || (s::BIGINT) || ':' || ((s + n)::BIGINT) AS t FROM s JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM s GROUP BY v),
+j AS (SELECT s.*, owners, repositories, owners >= 3 OR (owners > 1 AND repositories >= 10) AS copied, kind < 3 AS base, name || ':' || (s::BIGINT) || ':' || ((s + n)::BIGINT) AS t FROM s JOIN o USING (v)),
 g AS (SELECT doc_id, count(*) FILTER (WHERE name = 'assign') AS n_assign, count(*) FILTER (WHERE name = 'access') AS n_access, count(*) FILTER (WHERE name = 'hex') AS n_hex,
-  string_agg(t, ',' ORDER BY s, kind) FILTER (WHERE base) AS b, string_agg(t, ',' ORDER BY s, kind) AS spans, count(*) FILTER (WHERE owners < 3) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_example
+  string_agg(t, ',' ORDER BY s, kind) FILTER (WHERE base) AS b, string_agg(t, ',' ORDER BY s, kind) AS spans, count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_example,
+  max(owners) AS most_owners, max(repositories) AS most_repositories
   FROM j GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM documents LEFT JOIN g USING (doc_id)
 """
 
