@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, hash_words, mix, slices, split_words, with_row_id, written
+from .common import ROW_ID, drop, hash_words, mix, slices, split_words, with_row_id, written
 from .components import components
 
 SHINGLE = 5
@@ -18,11 +18,11 @@ SHINGLE = 5
 #: Linked: 100 * common >= LEAST_PERCENT * all. The bounds below hold for this value: |A ^ B| <= (|A| + |B|) / 9.
 LEAST_PERCENT = 80
 
-#: Of the pairs that the sketches allow, how many of each row are verified in each turn of step 2; None: all.
-LIKELIEST = (2, 16, None)
+#: Of the pairs that the sketches allow, how many of each row are verified in the turns of step 2.
+LIKELIEST = (2, 16)
 
-#: Members of a part's group whose sketches are compared at a time.
-BLOCK = 2048
+#: Members of a part's group that are compared at a time, and bytes of their sketches.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 #: Blocks up to this size are compared pair by pair, larger ones row by row against arrays.
 SMALL = 32
@@ -30,8 +30,9 @@ SMALL = 32
 #: Pairs that a task remembers, so that it tells of each but once.
 REMEMBERED = 500_000
 
-#: Shingles of a component's texts that are held against each other at a time, about: larger components are cut in parts.
-TILE = 1 << 17
+#: Shingles of texts that are held against each other at a time, about, where all links are counted and where a group's
+#: pairs are verified: larger components and groups are cut in parts.
+TILE, GROUP_TILE = 1 << 17, 1 << 20
 
 #: Bytes of text hashed at a time; the arrays made of them are about forty times as large.
 RUN = 1 << 20
@@ -234,8 +235,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _meetings(block: list[list], most: int | None) -> tuple[list[np.ndarray], bool]:
-    """Of a block's rows (side, row, comp, n, sketch), the pairs that _crossing wants, as arrays of lower and higher row;
+def _meetings(block: list[list], most: int) -> tuple[list[np.ndarray], bool]:
+    """Of a block's rows (side, row, comp, n, sketch, origin), the pairs that _crossing wants, as arrays of lower and higher row;
     whether some row had more than `most` of them."""
     if len({b[2] for b in block}) < 2:
         return [], False
@@ -243,25 +244,22 @@ def _meetings(block: list[list], most: int | None) -> tuple[list[np.ndarray], bo
     near: list[list[tuple[int, int]]] = [[] for _ in block]
     if len(block) <= SMALL:
         bits = [int.from_bytes(b[4] if len(b[4]) == size else fold(b[4], size).tobytes()) for b in block]
-        for i, (side, row, comp, n, _) in enumerate(block):
+        for i, (side, row, comp, n, _, origin) in enumerate(block):
             for j in range(i):
-                side_j, row_j, comp_j, n_j, _ = block[j]
-                if comp != comp_j and (side < 0 or side != side_j) and min(n, n_j) * 100 >= max(n, n_j) * LEAST_PERCENT:
+                side_j, row_j, comp_j, n_j, _, origin_j = block[j]
+                if comp != comp_j and origin != origin_j and (side < 0 or side != side_j) and min(n, n_j) * 100 >= max(n, n_j) * LEAST_PERCENT:
                     apart = (bits[i] ^ bits[j]).bit_count()
                     if apart <= (n + n_j) // 9:
                         near[i].append((apart, row_j))
-                        if most is not None:
-                            near[j].append((apart, row))
-        over = most is not None and any(len(x) > most for x in near)
+                        near[j].append((apart, row))
+        over = any(len(x) > most for x in near)
         found = [(min(b[1], r), max(b[1], r)) for b, x in zip(block, near, strict=True) for _, r in (sorted(x)[:most] if over else x)]
         return [np.array(sorted(set(found)), np.int64)] if found else [], over
-    side, row, comp, n = (np.array([b[i] for b in block], np.int64) for i in range(4))
+    side, row, comp, n, origin = (np.array([b[i] for b in block], np.int64) for i in (0, 1, 2, 3, 5))
     bits = np.stack([fold(b[4], size) for b in block])
     found, over = [], False
     for i in range(len(block)):
-        ok = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
-        if most is None:
-            ok &= row > row[i]
+        ok = (comp != comp[i]) & (origin != origin[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
         if side[i] >= 0:
             ok &= side != side[i]
         at = np.flatnonzero(ok)
@@ -269,15 +267,15 @@ def _meetings(block: list[list], most: int | None) -> tuple[list[np.ndarray], bo
             apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
             fits = apart <= (n[at] + n[i]) // 9
             at, apart = at[fits], apart[fits]
-            if most is not None and len(at) > most:
+            if len(at) > most:
                 at, over = at[np.lexsort((row[at], apart))[:most]], True
             found.append(np.stack((np.minimum(row[at], row[i]), np.maximum(row[at], row[i])), axis=1))
     return found, over
 
 
-def _crossing(most: int | None):
-    """From rows (key, part_a, part_b, side, row, comp, n, sketch) sorted by the first three: pairs (a, b) of rows of
-    different components whose sizes and sketches allow a link, for each row the `most` likeliest. Of two blocks, rows of
+def _crossing(most: int):
+    """From rows (key, part_a, part_b, side, row, comp, n, sketch, origin) sorted by the first three: pairs (a, b) of rows
+    of different components and origins whose sizes and sketches allow a link, for each row the `most` likeliest. Of two blocks, rows of
     the one meet those of the other. A row with a key alone says that this key has more pairs than that."""
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +300,7 @@ def _crossing(most: int | None):
 
         block, own, got = [], None, []
         for batch in batches:
-            for key, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")), strict=True):
+            for key, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch", "origin")), strict=True):
                 if (key, a, b) != own:
                     for row in tell(block, own[0]) if block else ():
                         got.append(row)
@@ -360,6 +358,87 @@ def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near, "a long, b long")
 
 
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin[k] .. begin[k] + size[k] - 1 of all k."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
+
+
+def _tile_links(block: list[tuple]) -> list[tuple[int, int]]:
+    """Of a tile's rows (side, row, comp, origin, set), links that join all components that any link joins. All pairs are
+    verified on their sets, of two sides those across, but for those of one component or origin."""
+    block = sorted(block, key=lambda b: (b[0], len(b[4])))
+    side, row, comp, origin = (np.array([b[k] for b in block], np.int64) for k in range(4))
+    if (comp == comp[0]).all() or (origin == origin[0]).all():
+        return []
+    n = np.array([len(b[4]) // 8 for b in block], np.int64)
+    begin = np.cumsum(n) - n
+    known, code = np.unique(np.frombuffer(b"".join(b[4] for b in block), np.uint64), return_inverse=True)
+    split = int(np.searchsorted(side, side[0], "right"))
+    whole = split == len(block)  # one side: each row meets those after it
+    first, other = (0, n) if whole else (split, n[split:])
+    marked, found = np.zeros(len(known), np.int32), []
+    for i in range(split):
+        low = i + 1 if whole else first + int(np.searchsorted(other * 100, n[i] * LEAST_PERCENT, "left"))
+        high = first + int(np.searchsorted(other * LEAST_PERCENT, n[i] * 100, "right"))
+        at = low + np.flatnonzero((comp[low:high] != comp[i]) & (origin[low:high] != origin[i])) if low < high else ()
+        if not len(at):
+            continue
+        own = code[begin[i] : begin[i] + n[i]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[code[_ragged(begin[at], n[at])]], np.cumsum(n[at]) - n[at]).astype(np.int64)
+        marked[own] = 0
+        for j in at[100 * common >= LEAST_PERCENT * (n[i] + n[at] - common)]:
+            if comp[j] != comp[i]:
+                found.append((int(row[i]), int(row[j])))
+                comp[comp == comp[j]] = comp[i]
+    return found
+
+
+def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (own, part_a, part_b, side, row, comp, origin, set) sorted by the first three: links (a, b), see
+    _tile_links. A tile gives fewer links than it has rows."""
+    block, own, got = [], None, []
+    for batch in batches:
+        for group, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("own", "part_a", "part_b", "side", "row", "comp", "origin", "set")), strict=True):
+            if (group, a, b) != own and block:
+                got += _tile_links(block)
+                block = []
+            own = (group, a, b)
+            block.append(member)
+        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(2)], ["a", "b"])
+        got = []
+    got = _tile_links(block) if block else []
+    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(2)], ["a", "b"])
+
+
+def _joined_in_tiles(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components that links within the groups `own` of placed (own, row, comp, n, origin)
+    join; placed is a written table. Groups are cut into parts by count and by shingles, and each two parts are a tile:
+    a row's set is sent once for each part of its group, and no pair is written down but the links that join something."""
+    sizes = placed.groupBy("own").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GROUP_TILE)).cast("int").alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("origin").alias("lo_o"), F.max("origin").alias("hi_o"))
+    sizes = written(sizes.where("lo != hi AND lo_o != hi_o").select("own", "parts"), "groups")
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("part_a"), F.greatest(k, F.col("part")).alias("part_b")))
+    dealt = placed.join(sizes, "own").withColumn("part", part)
+    # A row's places are one list, so that its set is made once.
+    dealt = dealt.groupBy(F.col("row").alias("_r"), F.col("comp")).agg(F.collect_list(F.struct("own", "parts", "part", "origin")).alias("at"))
+    dealt = written(dealt, "tiled")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in slices(batch, "_text", RUN):
+                codes, offsets = shingle_sets(run.column("_text"))
+                packed = pa.array([codes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([run.column("_r"), packed], ["_r", "set"])
+
+    sets = texts.join(dealt.select("_r"), F.col(ROW_ID) == F.col("_r"), "left_semi").select(F.col(ROW_ID).alias("_r"), "_text").mapInArrow(made, "_r long, set binary")
+    tiles = dealt.join(sets, "_r").select(F.col("_r").alias("row"), "comp", "set", F.inline("at")).select("row", "comp", "set", "own", "origin", F.col("part"), F.explode(meets).alias("m"))
+    tiles = tiles.select("own", "m.part_a", "m.part_b", F.col("part").alias("side"), "row", "comp", "origin", "set")
+    links = tiles.repartition("own", "part_a", "part_b").sortWithinPartitions("own", "part_a", "part_b").mapInArrow(_joins, "a long, b long")
+    return written(links.distinct(), "tile-links")
+
+
 def _tile(block: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Of a tile's rows (side, row, weight, set), the rows and the weight of those that each is linked to. All pairs are
     verified on their sets, of two sides those across; sizes alone leave some out, which can't be linked."""
@@ -414,7 +493,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _n_links(texts: DataFrame, member: DataFrame, joined: DataFrame) -> DataFrame:
-    """(rep, n_links) for each class: of one of its rows, the other rows that are linked to it.
+    """(rep, n_links, root) for each class: of one of its rows, the other rows that are linked to it.
 
     Every link lies within a component. So the classes of each component of several are verified pair by pair, in tiles
     of two parts of the component; a tile gives a count for each class and no pair.
@@ -440,7 +519,7 @@ def _n_links(texts: DataFrame, member: DataFrame, joined: DataFrame) -> DataFram
     found = tiles.repartition("comp", "part_a", "part_b").sortWithinPartitions("comp", "part_a", "part_b").mapInArrow(_tiles, "row long, links long")
     found = found.groupBy("row").agg(F.sum("links").alias("links"))
     counted = weights.join(found, F.col("rep") == F.col("row"), "left").select("rep", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return written(counted, "n-links")
+    return written(counted.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("root", "rep").alias("root")), "n-links")
 
 
 def _rooted(rows: DataFrame, id_col: str, text_col: str, count: bool = False) -> DataFrame:
@@ -449,7 +528,8 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str, count: bool = False) ->
     id_type = rows.schema[id_col].dataType.simpleString()
     described = rows.select(ROW_ID, F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_described, f"{ROW_ID} long, _id {id_type}, n long, d1 long, d2 long, sketch binary")
     described = written(described, "sets-described")
-    kinds = described.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(ROW_ID).alias("rep"))
+    # A written table, so that the join below is split where a class has very many rows.
+    kinds = written(described.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(ROW_ID).alias("rep")), "kinds")
     member = written(described.join(kinds, ["n", "d1", "d2"], "left").select(F.col(ROW_ID).alias("row"), F.coalesce("rep", F.col(ROW_ID)).alias("rep"), "_id", "n"), "classes")
     nodes = described.join(member.where("row = rep").select(F.col("row").alias("_m")), F.col(ROW_ID) == F.col("_m"), "left_semi").select(F.col(ROW_ID).alias("row"), "n", "sketch")
 
@@ -467,32 +547,58 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str, count: bool = False) ->
     def belongs() -> DataFrame:
         return nodes.join(joined, F.col("row") == F.col("node"), "left").select(F.col("row").alias("_r"), "n", "sketch", F.coalesce("root", "row").alias("comp"))
 
-    # Keys whose representatives still belong to several components. A key goes on to the next turn only if some of its
-    # rows had more likely pairs than the turn took: of the others every allowed pair is verified.
-    held, tested = shared.select("key", "row"), stars
-    for most in LIKELIEST:
-        comps = belongs()
-        placed = written(held.join(comps.select("_r", "comp"), F.col("row") == F.col("_r")).select("key", "row", "comp"), "held-keys")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-        held = written(placed.join(mixed, "key").select("key", "row", "size"), "mixed-keys")
-        grouped = held.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
-        grouped = grouped.select("key", "row", "own", F.explode(meets).alias("m")).select("key", "row", "m.*", F.when(F.col("m.part_a") == F.col("m.part_b"), -1).otherwise(F.col("own")).alias("side"))
-        grouped = grouped.join(comps, F.col("row") == F.col("_r")).select("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")
-        crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing(most), "a long, b long, key long")
-        crossing = written(crossing.distinct(), "crossing")
-        fresh = written(crossing.where("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            tested = tested.unionByName(fresh)
-            links = written(links.unionByName(sets.linked(fresh)), "links")
-            joined = components(links)
-        more = crossing.where("key IS NOT NULL").select("key")
-        if more.isEmpty():
-            break
-        held = held.join(more, "key", "left_semi").select("key", "row")
-
-    rooted = member.join(joined, F.col("rep") == F.col("node"), "left").select("row", "_id", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    return rooted.join(_n_links(texts, member, joined), "rep").drop("rep") if count else rooted.drop("rep")
+    def mixed(held: DataFrame, comps: DataFrame) -> DataFrame:
+        """(key, row, origin, size, bytes) of the groups of held (key, row, origin) with several components and origins."""
+        placed = held.join(comps.select("_r", "comp", F.octet_length("sketch").alias("bytes")), F.col("row") == F.col("_r"))
+        placed = written(placed.select("key", "row", "origin", "comp", "bytes"), "held-keys")
+        spread = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("origin").alias("lo_o"), F.max("origin").alias("hi_o")]
+        sizes = placed.groupBy("key").agg(*spread, F.count("*").alias("size"), F.sum("bytes").alias("bytes")).where("lo != hi AND lo_o != hi_o")
+        sizes = written(sizes.select("key", "size", "bytes"), "mixed")
+        found = written(placed.select("key", "row", "origin").join(sizes, "key"), "mixed-keys")
+        drop(placed, sizes)
+        return found
+
+    # Rows that share their keys' smallest row are a group: most pairs that share a key meet there, and once. Those of
+    # keys of several groups are left; they meet in a second pass, by key.
+    held = mixed(shared.select("key", "row", F.col("row").alias("origin")), belongs()).select("key", "row")
+    least = written(held.groupBy("key").agg(F.min("row").alias("least")), "least-rows")
+    leaders = written(held.join(least, "key").groupBy("row").agg(F.min("least").alias("leader")), "leaders")
+    by_leader = leaders.select(F.col("leader").alias("key"), "row", F.col("row").alias("origin"))
+    by_key = held.join(leaders, "row").select("key", "row", F.col("leader").alias("origin"))
+    tested = stars
+    for held in (by_leader, by_key):
+        # A group goes on to the next turn only if some of its rows had more likely pairs than the turn took: of the
+        # others every allowed pair is verified.
+        for most in LIKELIEST:
+            comps = belongs()
+            held = mixed(held, comps)
+            grouped = held.withColumn("parts", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+            meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
+            grouped = grouped.select("key", "row", "origin", "own", F.explode(meets).alias("m")).select("key", "row", "origin", "m.*", F.when(F.col("m.part_a") == F.col("m.part_b"), -1).otherwise(F.col("own")).alias("side"))
+            grouped = grouped.join(comps, F.col("row") == F.col("_r")).select("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch", "origin")
+            crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing(most), "a long, b long, key long")
+            crossing = written(crossing.distinct(), "crossing")
+            fresh = written(crossing.where("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
+            if not fresh.isEmpty():
+                tested = tested.unionByName(fresh)
+                links = written(links.unionByName(sets.linked(fresh)), "links")
+                joined = components(links)
+            more = written(crossing.where("key IS NOT NULL").select("key"), "more-keys")
+            if more.isEmpty():
+                break
+            held = held.join(more, "key", "left_semi").select("key", "row", "origin")
+        else:
+            # What is left are groups of many rows that lie close to each other without being linked.
+            placed = held.join(belongs().select("_r", "n", "comp"), F.col("row") == F.col("_r")).select(F.col("key").alias("own"), "row", "n", "comp", "origin")
+            fresh = _joined_in_tiles(texts, written(placed, "close-rows"))
+            if not fresh.isEmpty():
+                links = written(links.unionByName(fresh), "links")
+                joined = components(links)
+
+    if count:
+        return written(member.join(_n_links(texts, member, joined), "rep").select("row", "_id", "n", "root", "n_links"), "rooted")
+    rooted = member.join(joined, F.col("rep") == F.col("node"), "left").select("row", "_id", "n", F.coalesce("root", "rep").alias("root"))
+    return written(rooted, "rooted")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -504,9 +610,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. All rows of a part key (see part_keys) are held against its first row. Nearly all near copies are joined here,
        at one pair per row and first row however large the group.
-    2. In the groups that still hold several components, the sketches of all rows of different components are compared
-       in memory, in blocks, and only pairs that the sketch bound allows go on: first the likeliest few of each row,
-       and when these have joined what they can, all that still lie between components.
+    2. Of the keys that still hold several components, rows that share their keys' smallest row make groups, in which a
+       pair meets once however many keys it shares; pairs of a key across groups meet by key after that. In both, the
+       sketches of all rows of different components are compared in memory, in blocks, and of the pairs that the sketch bound allows the likeliest few of each row go on, in two
+       turns. Where a row had more, its group's pairs between components are verified on their sets, in tiles of bounded
+       size that tell of no pair but the links that join something: quadratic in time where thousands of texts lie close
+       to each other without being linked, but not in rows or memory.
 
     Allowed pairs are verified on the sets themselves. Any two linked sets have a key in common, so a link between
     components of step 1 is found in step 2: no link between components is lost.
@@ -525,17 +634,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [c for c in docs.columns if c not in ("n_shingles", "n_links", "component_id")]
     rows = with_row_id(docs)
     rooted = _rooted(rows, id_col, text_col, count=True)
-    least = rooted.groupBy("root").agg(F.min("_id").alias("_least"))
+    least = written(rooted.groupBy("root").agg(F.min("_id").alias("_least")), "least-ids")
     named = rooted.join(least, "root").select(F.col("row").alias("_row"), F.col("n").alias("_n"), F.col("n_links").alias("_links"), "_least")
     return rows.join(named, F.col(ROW_ID) == F.col("_row")).select(*names, F.col("_n").alias("n_shingles"), F.col("_links").alias("n_links"), F.col("_least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, unchanged: that of the smallest id (null last), and of several with that id the first."""
+    """One row of each component, unchanged: that of the smallest id (null last), and of several with that id the first.
+
+    Texts without words are components of their own and stay. Its cases are those of near_duplicates(), but that all
+    columns pass through, whatever their names."""
     rows = with_row_id(docs)
     rooted = _rooted(rows, id_col, text_col)
     # Two minima that each task makes before the shuffle; with no id at all, the smallest row.
-    chosen = rooted.groupBy("root", "_id").agg(F.min("row").alias("row"))
-    least = chosen.groupBy("root").agg(F.min("_id").alias("_least"))
-    kept = chosen.join(least.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & F.col("_id").eqNullSafe(F.col("_least"))).select("row")
-    return rows.join(kept, F.col(ROW_ID) == F.col("row"), "left_semi").select(*docs.columns)
+    chosen = written(rooted.groupBy("root", "_id").agg(F.min("row").alias("_kept")), "chosen")
+    least = written(chosen.groupBy("root").agg(F.min("_id").alias("_least")), "least-ids")
+    kept = chosen.join(least.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & F.col("_id").eqNullSafe(F.col("_least"))).select("_kept")
+    return rows.join(kept, F.col(ROW_ID) == F.col("_kept"), "left_semi").select(*docs.columns)
