@@ -1,7 +1,13 @@
 """A training corpus from `documents`, in five stages. Belongs to the llm subpackage.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
-docs. All but the last return the columns of `documents`.
+docs. All but the last return the columns of `documents`, and pass through any others.
+
+Defined cases, the same in all stages: a null or empty text is a document like any other, which is kept unless its site
+speaks against it, has no line to lose, no copy and no benchmark passage, and is packed as the end-of-document token;
+null ids, sources and languages stay null, and null ids count as the largest; repeated rows are copies, of which one
+stays; very long texts are read whole; an empty table stays empty; columns named as the operators' results or their own
+variables don't matter.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import leaks, lines, packing, quality, similar
-from ledgerloom.llm.common import read, written
+from ledgerloom.llm.common import drop, dropping, read, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from documents on."""
+    """All stages, from documents on. What a stage has written goes when the next one's docs are there."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{k}")
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with dropping(spark) as kept:
+            after = written(stage(spark, docs, sf_dir), f"stage-{k}")
+            kept.append(after._table)
+        if k:
+            drop(docs)
+        docs = after
