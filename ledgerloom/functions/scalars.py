@@ -56,16 +56,28 @@ def file_name(start: Column, end: Column, kind: Column, extension: str = "seg")
 
 
 def key_string(key: Column) -> Column:
-    """How a progress report shows a key: whole below four bytes; of longer ones, four bytes after any leading zero ones."""
+    """How a progress report shows a key: its first four bytes, or less if it is shorter; whole if it has eight or more
+    and begins with four zero bytes; null is `final`."""
     text = F.lower(F.hex(key))
-    return F.when(F.octet_length(key) < 4, text).otherwise(F.substring(F.regexp_replace(text, "^(00)+", ""), 1, 8))
+    whole = (F.octet_length(key) >= 8) & text.startswith("00000000")
+    return F.coalesce(F.when(whole, text).otherwise(F.substring(text, 1, 8)), F.lit("final"))
 
 
 def next_key(key: Column) -> Column:
-    """The next byte string of the same length in order; null for an empty one and for the last."""
+    """The next byte string of the same length in order; an error for an empty one and for the last. Null stays null."""
     spelled = F.hex(key)
     head = F.regexp_replace(spelled, "(FF)+$", "")  # an even number of digits, so whole bytes
     n = F.length(head)
     raised = F.lpad(F.hex(F.conv(F.right(head, F.lit(2)), 16, 10).cast("long") + 1), 2, "0")
     rest = F.repeat(F.lit("00"), ((F.length(spelled) - n) / 2).cast("int"))
-    return F.when(n > 0, F.unhex(F.concat(F.substring(head, F.lit(1), n - 2), raised, rest)))
+    found = F.when(n > 0, F.unhex(F.concat(F.substring(head, F.lit(1), n - 2), raised, rest)))
+    return F.when(F.octet_length(key) == 0, F.raise_error(F.lit("next key of the empty key"))).when(n == 0, F.raise_error(F.lit("next key overflows"))).otherwise(found)
+
+
+def split_parameters(m: Column, leaf: int, first: int, second: int) -> Column:
+    """struct(fanout, unit): how a group of m keys is divided further. Above the second bound in two, the left part a
+    multiple of that bound; above the first in parts of its size; else in leaves."""
+    parts = lambda n, size: F.ceil(n / size).cast("int")
+    halves = F.struct(F.lit(2).alias("fanout"), (parts(F.ceil(m / 2), second) * second).alias("unit"))
+    groups = lambda size: F.struct(parts(m, size).alias("fanout"), F.lit(size).alias("unit"))
+    return F.when(m > second, halves).when(m > first, groups(first)).otherwise(groups(leaf))

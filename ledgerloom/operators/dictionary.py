@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A pattern of the dictionary has so many bytes at least, and at most.
 SHORTEST, LONGEST = 5, 128
@@ -37,42 +39,63 @@ def top(patterns: DataFrame, n: int) -> DataFrame:
     return patterns.orderBy(F.col("score").desc(), F.col("word").desc()).limit(n)
 
 
-def ngrams(words: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def ngrams(words: DataFrame, text: str, size: int) -> DataFrame:
     """n-grams of tokens that stand more than once, with their count and the rows that hold them."""
     def grams(tokens: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.array_join(F.slice(tokens, i, size), " "))
 
+    # Sorted within its row, a gram's first place there counts the row; so grams are shuffled once, summed up by each task.
+    def listed(t: Column) -> Column:
+        return F.when(F.size(t) >= size, F.transform(F.array(F.sort_array(grams(t))), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("gram"), ((i == 0) | (F.get(g, i - 1) != x)).cast("int").alias("new"))))[0])
+
     # Split once, as a lambda's argument: inside it the text would be split again for every n-gram.
     tokens = F.split(F.col(text), " ")
-    each = words.select(key, F.explode(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= size, grams(t)))[0]).alias("gram"))
-    counted = each.groupBy("gram", key).agg(F.count("*").alias("n")).groupBy("gram").agg(F.sum("n").alias("repeats"), F.count("*").alias("holders"))
-    return counted.where("repeats > 1")
-
+    each = words.select(F.explode(F.transform(F.array(tokens), listed)[0]).alias("g")).select("g.gram", "g.new")
+    return each.groupBy("gram").agg(F.count("*").alias("repeats"), F.sum("new").alias("holders")).where("repeats > 1")
 
-def matches(words: DataFrame, patterns: DataFrame, key: str = "ordinal", text: str = "text", pattern: str = "pattern") -> DataFrame:
-    """Where dictionary patterns stand in texts: of each start the longest, without those within an earlier one.
-
-    Only places of the lengths that patterns have are cut out of a text, and they meet the patterns in an equi-join.
-    """
-    lengths = sorted(r[0] for r in patterns.select(F.length(pattern)).distinct().collect())
 
-    def cuts(chars: Column) -> Column:
-        of = lambda n: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(chars, i, n), "").alias("piece")))
-        return F.flatten(F.array_compact(F.array(*[F.when(F.size(chars) >= n, of(n)) for n in lengths])))
+#: Characters of all patterns together that matches() sends to every task, at most.
+MOST_PATTERN_CHARS = 4_000_000
 
-    chars = F.array_remove(F.split(F.col(text), "", -1), "")
-    each = words.select(key, F.explode(F.transform(F.array(chars), cuts)[0]).alias("c")).select(key, (F.col("c.at") - 1).cast("long").alias("at"), F.col("c.piece").alias(pattern))
-    hit = each.join(patterns.select(pattern).distinct(), pattern).withColumn("until", F.col("at") + F.length(pattern))
-    longest = hit.groupBy(key, "at").agg(F.max("until").alias("until"))
-    before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return longest.withColumn("_reach", F.max("until").over(before)).where(F.col("_reach").isNull() | (F.col("until") > F.col("_reach"))).drop("_reach")
 
+def matches(words: DataFrame, patterns: DataFrame, key: str = "ordinal", text: str = "text", pattern: str = "pattern") -> DataFrame:
+    """(key, at, until): where dictionary patterns stand in texts: of each start the longest, without those within an
+    earlier one.
 
-def entropy_bits(counts: DataFrame, count: str, *by: str) -> DataFrame:
-    """Total bits of an ideal code for symbols used `count` times, as the bound on any prefix code."""
-    total = F.sum(count).over(Window.partitionBy(*by))
-    bits = -F.col(count) * F.log2(F.col(count) / F.col("_total"))
-    return counts.withColumn("_total", total).groupBy(*by).agg(F.sum(bits).alias("bits"), F.sum(count).alias("uses"))
+    All patterns are searched for at once, by an automaton that each task builds; texts never move. The dictionary is a
+    bounded one: beyond MOST_PATTERN_CHARS it is an error.
+    """
+    wanted = patterns.select(F.col(pattern).alias("p")).where(F.length("p") > 0).distinct()
+    chars = wanted.agg(F.sum(F.length("p"))).first()[0] or 0
+    if chars > MOST_PATTERN_CHARS:
+        raise ValueError(f"{chars} characters of patterns, more than {MOST_PATTERN_CHARS}")
+    known = sorted(r["p"] for r in wanted.collect())
+    kind = to_arrow_type(words.schema[key].dataType)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for p in known:
+            machine.add_word(p, len(p))
+        if known:
+            machine.make_automaton()
+        for batch in batches:
+            keys, starts, ends = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                longest: dict[int, int] = {}
+                for last, n in machine.iter(t.as_py() or "") if known else ():
+                    longest[last + 1 - n] = max(last + 1, longest.get(last + 1 - n, 0))
+                reach = 0
+                for at in sorted(longest):
+                    if longest[at] > reach:
+                        reach = longest[at]
+                        keys.append(k)
+                        starts.append(at)
+                        ends.append(reach)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [key, "at", "until"])
+
+    return words.select(key, text).mapInArrow(found, f"{key} {words.schema[key].dataType.simpleString()}, at long, until long")
 
 
 def code_lengths(uses: dict) -> dict:
@@ -136,9 +159,9 @@ def cover_words(words: DataFrame, key: str, word: str, dictionary: dict[bytes, i
     return words.select(key, word).mapInPandas(covered, f"{key} {kind}, at int, pattern binary")
 
 
-def places(text: bytes, dictionary: dict[bytes, int], heads: dict[bytes, list[int]], known: np.ndarray) -> list[int]:
-    """Where the patterns of cover(text, dictionary) start, for patterns of SHORTEST bytes or more: only places that
-    begin like a pattern are looked at. heads and known are those of _heads(dictionary)."""
+def places(text: bytes, dictionary: dict[bytes, int], heads: dict[bytes, list[int]], known: np.ndarray) -> list[tuple[int, int]]:
+    """Where the patterns of cover(text, dictionary) start and how long they are, for patterns of SHORTEST bytes or more: only places that
+    begin like a pattern are looked at. heads and known are those of heads_of(dictionary)."""
     if len(text) < SHORTEST:
         return []
     starts = np.flatnonzero(known[_codes(np.frombuffer(text, np.uint8))]).tolist()
@@ -155,7 +178,7 @@ def places(text: bytes, dictionary: dict[bytes, int], heads: dict[bytes, list[in
     found, reach = [], 0
     for i, k in zip(starts, choice, strict=True):
         if k and i >= reach:
-            found.append(i)
+            found.append((i, k))
             reach = i + k
     return found
 
@@ -169,7 +192,7 @@ def _codes(chars: np.ndarray) -> np.ndarray:
     return code * np.uint32(0x85EBCA6B) >> np.uint32(16)
 
 
-def _heads(dictionary: dict[bytes, int]) -> tuple[dict[bytes, list[int]], np.ndarray]:
+def heads_of(dictionary: dict[bytes, int]) -> tuple[dict[bytes, list[int]], np.ndarray]:
     """The lengths of the patterns that begin with the same bytes; a table of the codes of such beginnings."""
     heads: dict[bytes, list[int]] = {}
     known = np.zeros(1 << 16, bool)
@@ -185,7 +208,7 @@ def _heads(dictionary: dict[bytes, int]) -> tuple[dict[bytes, list[int]], np.nda
 def position_uses(words: DataFrame, word: str, dictionary: dict[bytes, int]) -> DataFrame:
     """(pos, uses): of each word its bytes plus one, the end mark 0, and for every pattern of its cover the start
     relative to the one before, plus one. Patterns have SHORTEST bytes at least; a task counts before the shuffle."""
-    heads, known = _heads(dictionary)
+    heads, known = heads_of(dictionary)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uses: Counter[int] = Counter()
@@ -194,7 +217,7 @@ def position_uses(words: DataFrame, word: str, dictionary: dict[bytes, int]) ->
                 w, last = bytes(w), 0
                 uses[len(w) + 1] += 1
                 uses[0] += 1
-                for at in places(w, dictionary, heads, known):
+                for at, _ in places(w, dictionary, heads, known):
                     uses[at - last + 1] += 1
                     last = at
         yield pd.DataFrame({"pos": list(uses), "uses": list(uses.values())}, dtype="int64")
@@ -202,5 +225,31 @@ def position_uses(words: DataFrame, word: str, dictionary: dict[bytes, int]) ->
     return words.select(word).mapInPandas(counted, "pos long, uses long").groupBy("pos").agg(F.sum("uses").alias("uses"))
 
 
-def ratio(raw: Column, packed: Column) -> Column:
-    return F.format_number(raw / packed, 2)
+def superstrings(words: DataFrame, limit: int, factor: int) -> DataFrame:
+    """(ordinal, superstring, sampled) of words (ordinal, length): a word of n bytes takes 2n + 2, and a superstring ends
+    before the word that would bring it beyond the limit; every factor-th is sampled.
+
+    Where one ends depends on where the one before did, so this is a fold by definition: two numbers for each word go
+    through one task in order, a batch at a time, and no text does.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = 0, 0
+        for batch in batches:
+            cost = 2 * batch.column("length").to_numpy() + 2
+            ends = np.cumsum(cost)
+            own, at = np.empty(len(cost), np.int64), 0
+            while at < len(cost):
+                before = ends[at - 1] if at else 0
+                stop = max(at, int(np.searchsorted(ends, limit - size + before, "right")))
+                own[at:stop] = number
+                size += (ends[stop - 1] if stop else 0) - before if stop > at else 0
+                if stop < len(cost):  # this word begins a superstring, however large it is itself
+                    number, size = number + 1, int(cost[stop])
+                    own[stop] = number
+                    stop += 1
+                at = stop
+            yield pa.RecordBatch.from_arrays([batch.column("ordinal"), pa.array(own), pa.array(own % factor == 0)], ["ordinal", "superstring", "sampled"])
+
+    ordered = words.select(F.col("ordinal").cast("long"), F.col("length").cast("long")).coalesce(1).sortWithinPartitions("ordinal")
+    return ordered.mapInArrow(fold, "ordinal long, superstring long, sampled boolean")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookup import newest
@@ -49,6 +51,15 @@ def collate(changes: DataFrame, step: int) -> DataFrame:
     return newest(changes.where(F.col("step") == step), "key", by=[F.col("tx").desc()])
 
 
+def collate_large(changes: DataFrame, start: int, end: int, value: Callable[[Column, int, int], Column] | None = None) -> DataFrame:
+    """(key, value) of the changes of [start, end), for values too large to be kept in versions: a key that stands twice is
+    an error. `value` transforms each value, given the range."""
+    rows = changes.where((F.col("tx") >= start) & (F.col("tx") < end))
+    grouped = rows.groupBy("key").agg(F.count("*").alias("_n"), F.max("value").alias("value"))
+    key = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate key "), F.col("key").cast("string")))).otherwise(F.col("key"))
+    return grouped.select(key.alias("key"), (value(F.col("value"), start, end) if value else F.col("value")).alias("value"))
+
+
 def unwind(changes: DataFrame, tx: int) -> DataFrame:
     """Keys changed at tx or later, with the value to put back; empty: delete."""
     first = history(changes).where(F.col("tx") >= tx).groupBy("key").agg(F.min(F.struct("tx", "previous")).alias("f"))

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import dictionary, lookup, predicates, scan
 from ..operators.positions import with_positions
+from ..sources import segments as compressed
 from ..sources import words as files
 from . import views as v
 from .registry import query
@@ -28,9 +30,10 @@ def word_scan(s: S, d: str) -> DataFrame:
     return v.words(s, d).select("ordinal", "offset", (F.col("offset") + F.col("length")).alias("next_offset"), F.sha2("word", 256).alias("digest"))
 
 
-@query("words", "SELECT ordinal, lower(hex(word[1:16])) AS head, length FROM words")
+@query("words", "SELECT ordinal, text AS word, length FROM words")
 def word_scan_raw(s: S, d: str) -> DataFrame:
-    return v.words(s, d).select("ordinal", hexed(F.encode(F.substring("text", 1, 16), "utf-8")).alias("head"), "length")
+    """Whole words as they are."""
+    return v.words(s, d).select("ordinal", F.col("text").alias("word"), "length")
 
 
 @query("words", "SELECT ordinal, text AS word, length FROM words WHERE ordinal % 3 = 0")
@@ -197,13 +200,24 @@ def length_distribution(s: S, d: str) -> DataFrame:
     return v.words(s, d).groupBy("length").agg(F.count("*").alias("n"))
 
 
-@query("words", """SELECT pos, count(*) AS uses FROM (SELECT length + 1 AS pos FROM words UNION ALL SELECT 0 FROM words
-UNION ALL SELECT instr(text, 'the') FROM words WHERE instr(text, 'the') > 0) GROUP BY 1""")
+#: The dictionary of longest_matches as SQL: the benchmark's distinct words of five characters and more; h has all matches,
+#: r those that aren't within one before.
+MATCHES = """p AS (SELECT DISTINCT pattern FROM (SELECT unnest(string_split(text, ' ')) AS pattern FROM benchmark) WHERE length(pattern) >= 5),
+c AS (SELECT doc_id, text, i, substr(text, i, 5) AS head FROM (SELECT doc_id, text, unnest(range(1, length(text) - 3)) AS i FROM documents)),
+h AS (SELECT doc_id, i - 1 AS pos, max(i - 1 + length(pattern)) AS until FROM c JOIN p ON head = left(pattern, 5) AND substr(text, i, length(pattern)) = pattern GROUP BY 1, 2),
+r0 AS (SELECT *, max(until) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+r AS (SELECT doc_id, pos, until FROM r0 WHERE reach IS NULL OR until > reach)"""
+
+
+@query("words", f""", {MATCHES} SELECT pos, count(*) AS uses FROM (SELECT length + 1 AS pos FROM words UNION ALL SELECT 0 FROM words
+UNION ALL SELECT pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), 0) + 1 FROM r) GROUP BY 1""")
 def position_histogram(s: S, d: str) -> DataFrame:
-    """Uses of the position symbols: each word's length plus one, its first pattern's place, and the end mark."""
-    words = v.words(s, d).select("length", "text")
-    lists = F.array(F.col("length") + 1, F.lit(0).cast("long"), F.instr("text", "the").cast("long"))
-    return words.select(F.posexplode(lists).alias("_i", "pos")).where((F.col("_i") < 2) | (F.col("pos") > 0)).groupBy("pos").agg(F.count("*").alias("uses"))
+    """Uses of the position symbols: each word's length plus one, the end mark, and every longest match's start relative to
+    the one before, plus one."""
+    words = v.words(s, d).select(F.explode(F.array(F.col("length") + 1, F.lit(0).cast("long"))).alias("pos"))
+    before = F.lag("at").over(Window.partitionBy("doc_id").orderBy("at"))
+    starts = longest_matches(s, d).select((F.col("at") - F.coalesce(before, F.lit(0)) + 1).alias("pos"))
+    return words.unionByName(starts).groupBy("pos").agg(F.count("*").alias("uses"))
 
 
 @query()
@@ -219,19 +233,13 @@ def cover_position_histogram(s: S, d: str) -> DataFrame:
   SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))) AS gram FROM (SELECT doc_id, string_split(text, ' ') AS t FROM words)) GROUP BY 1, 2)
 GROUP BY gram HAVING sum(n) > 1""")
 def ngram_repeats(s: S, d: str) -> DataFrame:
-    return dictionary.ngrams(v.table(s, d, "documents"), "doc_id", "text", 4)
+    return dictionary.ngrams(v.table(s, d, "documents"), "text", 4)
 
 
-@query("", """WITH p AS (SELECT DISTINCT substr(text, 1, k) AS pattern FROM benchmark, (VALUES (6), (9)) l(k)),
-w AS (SELECT doc_id, text FROM documents),
-c AS (SELECT doc_id, i - 1 AS pos, i - 1 + k AS until, substr(text, i, k) AS piece FROM (SELECT doc_id, text, k, unnest(range(1, length(text) - k + 2)) AS i FROM w, (VALUES (6), (9)) l(k))),
-h AS (SELECT doc_id, pos, max(until) AS until FROM c JOIN p ON pattern = piece GROUP BY 1, 2),
-r AS (SELECT *, max(until) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h)
-SELECT doc_id, pos AS "at", until FROM r WHERE reach IS NULL OR until > reach""")
+@query("", f"""WITH {MATCHES} SELECT doc_id, pos AS "at", until FROM r""")
 def longest_matches(s: S, d: str) -> DataFrame:
-    """Dictionary patterns of two lengths, the beginnings of benchmark items, in all documents."""
-    items = v.table(s, d, "benchmark")
-    patterns = items.select(F.explode(F.array(F.substring("text", 1, 6), F.substring("text", 1, 9))).alias("pattern")).distinct()
+    """The benchmark's words in all documents."""
+    patterns = v.table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("pattern")).where(F.length("pattern") >= dictionary.SHORTEST)
     return dictionary.matches(v.table(s, d, "documents"), patterns, "doc_id", "text")
 
 
@@ -244,10 +252,25 @@ def huffman_cost(s: S, d: str) -> DataFrame:
     return uses.crossJoin(F.broadcast(total)).agg(F.round(F.sum(-F.col("n") * F.log2(F.col("n") / F.col("t"))), 6).alias("bits"), F.sum("n").alias("uses"))
 
 
-@query("words", "SELECT lang, printf('%.2f', sum(length) / count(DISTINCT word)) AS ratio FROM words GROUP BY lang")
+VARINT = "greatest(1, ceil(length(ltrim(bin({0}), '0')) / 7.0))::BIGINT"
+
+
+@query("words", f"""SELECT lang, printf('%.2f', sum({VARINT.format('length')} + length) / (24 + sum({VARINT.format('2 * length + (ordinal % 3 = 0)::INT')} + length))) AS ratio FROM words GROUP BY lang""")
 def compression_ratio(s: S, d: str) -> DataFrame:
-    g = v.words(s, d).groupBy("lang").agg(F.sum("length").alias("raw"), F.countDistinct("word").alias("packed"))
-    return g.select("lang", F.format_string("%.2f", F.col("raw") / F.col("packed")).alias("ratio"))
+    """The size of one file of each language's words over that of another: a simple file over a word file. Sizes are summed
+    up as the files would have them."""
+    n = F.col("length")
+    spelled = lambda x: scalars.uvarint_length(x) + n
+    simple, marked = F.sum(spelled(n)), F.sum(spelled(2 * n + (F.col("ordinal") % 3 == 0).cast("int"))) + files.HEADER.size
+    return v.words(s, d).groupBy("lang").agg(F.format_string("%.2f", simple / marked).alias("ratio"))
+
+
+@query()
+def segment_ratio(s: S, d: str) -> DataFrame:
+    """Of each segment file, the size of a simple file of its words over its own."""
+    raw = files.to_files(_in_files(s, d), "file", spell=lambda words: files.simple_encode([w for w, _ in words]))
+    sizes = lambda df, name: df.select("file", F.octet_length("content").alias(name))
+    return sizes(raw, "raw").join(sizes(_segments(s, d), "packed"), "file").select("file", F.format_string("%.2f", F.col("raw") / F.col("packed")).alias("ratio"))
 
 
 @query("", """SELECT p_name AS word, i AS "at", substr(p_name, i) AS suffix, row_number() OVER (PARTITION BY p_name ORDER BY encode(substr(p_name, i))) - 1 AS rank
@@ -271,11 +294,16 @@ def lcp(s: S, d: str) -> DataFrame:
     return both.select("word", "rank", F.when(F.col("before").isNull(), 0).otherwise(F.size(same)).cast("long").alias("common"))
 
 
-@query("words", """SELECT ordinal, ((2 * "offset" + 2 * ordinal) // 65536) AS superstring, ((2 * "offset" + 2 * ordinal) // 65536) % 4 = 0 AS sampled FROM words""")
+SUPERSTRING_BYTES, SAMPLED = 16 << 20, 4
+
+
+@query("words", f""", w AS (SELECT ordinal, 2 * "offset" + 2 * ordinal AS b, 2 * "offset" + 2 * ordinal + 2 * length + 2 AS e FROM words),
+s AS (SELECT * FROM (WITH RECURSIVE s(n, first, b) AS (SELECT 0::BIGINT, 0::BIGINT, 0::HUGEINT UNION ALL
+  SELECT s.n + 1, min(w.ordinal), min(w.b)::HUGEINT FROM s JOIN w ON w.ordinal > s.first AND w.e - s.b > {SUPERSTRING_BYTES} GROUP BY s.n) SELECT * FROM s))
+SELECT ordinal, max(n) AS superstring, max(n) % {SAMPLED} = 0 AS sampled FROM w JOIN s ON s.first <= w.ordinal GROUP BY ordinal""")
 def superstring_sampling(s: S, d: str) -> DataFrame:
-    """Words are dealt to superstrings by the running size of their encoding; every fourth is sampled."""
-    at = F.floor((2 * F.col("offset") + 2 * F.col("ordinal")) / 65536)
-    return v.words(s, d).select("ordinal", at.alias("superstring"), (at % 4 == 0).alias("sampled"))
+    """Words fill superstrings of 16 MiB one after another; every fourth is sampled."""
+    return dictionary.superstrings(v.words(s, d), SUPERSTRING_BYTES, SAMPLED)
 
 
 @query()
@@ -298,9 +326,46 @@ def pattern_uses(s: S, d: str) -> DataFrame:
     return cover_words(s, d).groupBy("pattern").agg(F.count("*").alias("uses"))
 
 
-@query("words", "SELECT lang AS file, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ordinal, length, sha256(word) AS digest FROM words")
+FILE_SQL = f"""SELECT lang || '/' || ("offset" // {files.FILE_BYTES}) AS file, row_number() OVER (PARTITION BY lang, "offset" // {files.FILE_BYTES} ORDER BY doc_id) - 1 AS ordinal, length, word FROM words"""
+
+
+def _in_files(s: S, d: str) -> DataFrame:
+    """The words of each language in files of bounded size, every third not to be compressed."""
+    words = files.parts(v.words(s, d), F.col("lang"))
+    return words.select("file", "ordinal", "word", (F.col("ordinal") % 3 != 0).alias("compressed"))
+
+
+def _segments(s: S, d: str) -> DataFrame:
+    return files.to_files(_in_files(s, d), "file", spell=compressed.encode_segment)
+
+
+@query("words", f"SELECT file, ordinal, length, sha256(word) AS digest FROM ({FILE_SQL})")
 def segment_roundtrip(s: S, d: str) -> DataFrame:
-    """Words of each language written to a word file and read back."""
-    words = v.words(s, d).withColumn("compressed", F.col("ordinal") % 3 != 0)
-    back = files.from_files(files.to_files(words, "lang"))
+    """Words written to word files and read back."""
+    back = files.from_files(files.to_files(_in_files(s, d), "file"))
+    return back.select("file", "ordinal", F.octet_length("word").cast("long").alias("length"), F.sha2("word", 256).alias("digest"))
+
+
+@query("words", f"SELECT file, ordinal, length, sha256(word) AS digest FROM ({FILE_SQL})")
+def simple_roundtrip(s: S, d: str) -> DataFrame:
+    """Words written to simple files and read back."""
+    back = files.simple_words(files.to_files(_in_files(s, d), "file", spell=lambda words: files.simple_encode([w for w, _ in words])))
     return back.select("file", "ordinal", F.octet_length("word").cast("long").alias("length"), F.sha2("word", 256).alias("digest"))
+
+
+@query("words", f"SELECT file, count(*) AS n_words, count(*) FILTER (WHERE length = 0) AS n_empty FROM ({FILE_SQL}) GROUP BY file")
+def segment_open(s: S, d: str) -> DataFrame:
+    """What the headers of compressed segments say, once their dictionaries are checked."""
+    return compressed.open_segments(_segments(s, d)).select("file", "n_words", "n_empty")
+
+
+@query("words", f"SELECT file, ordinal, length, sha256(word) AS digest FROM ({FILE_SQL})")
+def segment_decode(s: S, d: str) -> DataFrame:
+    """Words compressed into segments, by dictionary and prefix codes, and decoded."""
+    return compressed.segment_words(_segments(s, d)).select("file", "ordinal", "length", F.sha2("word", 256).alias("digest"))
+
+
+@query("words", f"SELECT file, ordinal, length FROM ({FILE_SQL})")
+def segment_skip(s: S, d: str) -> DataFrame:
+    """Lengths of compressed words, without putting a word together."""
+    return compressed.segment_words(_segments(s, d), decode=False).select("file", "ordinal", "length")

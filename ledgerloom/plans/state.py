@@ -134,10 +134,16 @@ def etl_extract_range(s: S, d: str) -> DataFrame:
 UNION ALL SELECT l_partkey, 1 FROM lineitem WHERE l_orderkey >= 10) GROUP BY key""")
 def etl_transform(s: S, d: str) -> DataFrame:
     """A range is extracted, each row becomes two entries, and equal keys are summed on load."""
-    rows = etl.extract_range(v.table(s, d, "lineitem"), "l_orderkey", 10)
     entry = lambda k, n: F.struct(F.col(k).alias("key"), n.cast("long").alias("n"))
-    out = rows.select(F.explode(F.array(entry("l_suppkey", F.col("l_quantity")), entry("l_partkey", F.lit(1)))).alias("e"))
-    return out.groupBy("e.key").agg(F.sum("e.n").alias("total"))
+    both = lambda: F.array(entry("l_suppkey", F.col("l_quantity")), entry("l_partkey", F.lit(1)))
+    return etl.transform(v.table(s, d, "lineitem"), "l_orderkey", both, lambda e: e.groupBy("key").agg(F.sum("n").alias("total")), 10)
+
+
+@query("", "SELECT event_id AS key, '[0,1000000) ' || event_type AS value FROM events WHERE event_id < 1000000")
+def collate_large(s: S, d: str) -> DataFrame:
+    """Values of keys that may stand once only, through a transformer that is told of the range."""
+    rows = v.table(s, d, "events").select(F.col("event_id").alias("key"), F.col("event_id").alias("tx"), F.col("event_type").alias("value"))
+    return temporal.collate_large(rows, 0, 1_000_000, lambda value, start, end: F.concat(F.lit(f"[{start},{end}) "), value))
 
 
 @query("", """SELECT coalesce(c.key, s.key) AS key, CASE WHEN s.key IS NULL THEN c.value ELSE s.value END AS value
@@ -174,6 +180,13 @@ def ef_get(s: S, d: str) -> DataFrame:
     return _sequences(s, d)
 
 
+@query("", SEQ + "SELECT seq, i, value FROM s")
+def ef_stored(s: S, d: str) -> DataFrame:
+    """Each customer's sequence as bytes, and read back. A sequence is a bounded group."""
+    listed = _sequences(s, d).groupBy("seq").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return succinct.loaded(listed.select("seq", succinct.stored("values").alias("data")), "data", "seq")
+
+
 @query("", SEQ + "SELECT seq, i, value, lead(value) OVER (PARTITION BY seq ORDER BY i) AS following FROM s")
 def ef_get2(s: S, d: str) -> DataFrame:
     return succinct.neighbours(_sequences(s, d), "seq").drop("delta")
@@ -267,6 +280,21 @@ def compression_flags(s: S, d: str) -> DataFrame:
     return v.table(s, d, "orders").select(F.col("o_orderkey").alias("x"), scalars.compression_flag(F.col("o_orderkey") % 4).alias("flag"))
 
 
-@query("", "SELECT p_partkey AS x, left(lower(hex(p_name)), 8) AS key FROM part")
+KEYS = "CASE p_partkey % 4 WHEN 0 THEN lower(hex(p_name)) WHEN 1 THEN lpad(lower(hex(p_partkey)), 16, '0') || '0a' WHEN 2 THEN lpad(lower(hex(p_partkey)), 8, '0') ELSE lpad(lower(hex(p_partkey % 256)), 2, '0') END"
+
+
+@query("", f"SELECT x, CASE WHEN length(k) < 8 THEN k WHEN length(k) >= 16 AND left(k, 8) = '00000000' THEN k ELSE left(k, 8) END AS key FROM (SELECT p_partkey AS x, {KEYS} AS k FROM part)")
 def key_str(s: S, d: str) -> DataFrame:
-    return v.table(s, d, "part").select(F.col("p_partkey").alias("x"), scalars.key_string(F.encode("p_name", "utf-8")).alias("key"))
+    """Keys of names, of numbers in nine and in four bytes, so with leading zeros, and of one byte."""
+    number = lambda n: F.lpad(F.hex("p_partkey"), n, "0")
+    kind = F.col("p_partkey") % 4
+    key = F.when(kind == 0, F.encode("p_name", "utf-8")).when(kind == 1, F.unhex(F.concat(number(16), F.lit("0a")))).when(kind == 2, F.unhex(number(8))).otherwise(F.unhex(F.lpad(F.hex(F.col("p_partkey") % 256), 2, "0")))
+    return v.table(s, d, "part").select(F.col("p_partkey").alias("x"), scalars.key_string(key).alias("key"))
+
+
+@query("", """SELECT p_partkey AS x, CASE WHEN m > 240 THEN 2 WHEN m > 48 THEN (m + 47) // 48 ELSE (m + 7) // 8 END AS fanout,
+  CASE WHEN m > 240 THEN (((m + 1) // 2 + 239) // 240) * 240 WHEN m > 48 THEN 48 ELSE 8 END AS unit FROM (SELECT p_partkey, (p_partkey % 2000 + 1)::INT AS m FROM part)""")
+def split_params(s: S, d: str) -> DataFrame:
+    """How a hash index would divide groups of up to 2000 keys, for leaves of 8 and bounds of 48 and 240."""
+    found = v.table(s, d, "part").select("p_partkey", scalars.split_parameters((F.col("p_partkey") % 2000 + 1).cast("int"), 8, 48, 240).alias("p"))
+    return found.select(F.col("p_partkey").alias("x"), "p.fanout", "p.unit")

@@ -6,14 +6,18 @@ Files are read by Spark's own binaryFile source, so that any store that Spark re
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words, empty words, bytes of the body: big-endian.
 HEADER = struct.Struct(">QQQ")
 
+#: Bytes of words in a file, about.
+FILE_BYTES = 1 << 20
+
 
 class CorruptFile(ValueError):
     """A word file whose header and body don't agree."""
@@ -70,17 +74,50 @@ def decode(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
         raise CorruptFile("its counts are wrong")
 
 
-def to_files(words: DataFrame, file: str, ordinal: str = "ordinal", word: str = "word", compressed: str = "compressed") -> DataFrame:
-    """(file, content): the words of each file, which is a bounded group, in order."""
+def simple_encode(words: list[bytes]) -> bytes:
+    """A simple file: each word behind the varint of its length, and nothing else."""
+    return b"".join(put_uvarint(len(w)) + w for w in words)
+
+
+def simple_decode(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(ordinal, word)."""
+    at = ordinal = 0
+    while at < len(data):
+        n, at = get_uvarint(data, at)
+        if at + n > len(data):
+            raise CorruptFile("a word beyond the end")
+        yield ordinal, data[at : at + n]
+        at, ordinal = at + n, ordinal + 1
+
+
+def to_files(words: DataFrame, file: str, ordinal: str = "ordinal", word: str = "word", compressed: str = "compressed", spell: Callable[[list[tuple[bytes, bool]]], bytes] = encode) -> DataFrame:
+    """(file, content): the words of each file in order, as `spell` spells them. A file is a bounded group: see parts()."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(ordinal)
-        content = encode([(bytes(w), bool(c)) for w, c in zip(rows[word], rows[compressed], strict=True)])
+        content = spell([(bytes(w), bool(c)) for w, c in zip(rows[word], rows[compressed], strict=True)])
         return pd.DataFrame({"file": [str(pdf[file].iloc[0])], "content": [content]})
 
     return words.select(file, ordinal, word, compressed).groupBy(file).applyInPandas(write, "file string, content binary")
 
 
+def parts(words: DataFrame, name: Column, size: int = FILE_BYTES, offset: str = "offset") -> DataFrame:
+    """words with `file`, their name and a number that rises with every `size` bytes of the running offset, so that no file
+    is much larger than that."""
+    return words.withColumn("file", F.concat_ws("/", name, F.floor(F.col(offset) / size).cast("string")))
+
+
+def simple_words(files: DataFrame) -> DataFrame:
+    """(file, ordinal, word) of simple files (file, content)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["file"], pdf["content"], strict=True):
+                yield pd.DataFrame([(name, *r) for r in simple_decode(bytes(content))], columns=["file", "ordinal", "word"])
+
+    return files.select("file", "content").mapInPandas(read, "file string, ordinal long, word binary")
+
+
 def from_files(files: DataFrame, strict: bool = True) -> DataFrame:
     """(file, ordinal, offset, word, compressed) of (file, content); a corrupt file is an error or, if not strict, left out."""
 

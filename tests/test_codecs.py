@@ -66,6 +66,9 @@ def test_rlp_columns(spark):
 
 
 def test_next_key(spark):
-    rows = [(b"",), (b"\x01\x01",), (b"\x01\xff",), (b"\xff\xff",), (b"\x0f\xff\xff",), (None,)]
+    rows = [(b"\x01\x01",), (b"\x01\xff",), (b"\x0f\xff\xff",), (None,)]
     found = spark.createDataFrame(rows, "k binary").select(scalars.next_key(F.col("k")).alias("n")).collect()
-    assert [r.n and bytes(r.n) for r in found] == [None, b"\x01\x02", b"\x02\x00", None, b"\x10\x00\x00", None]
+    assert [r.n and bytes(r.n) for r in found] == [b"\x01\x02", b"\x02\x00", b"\x10\x00\x00", None]
+    for last, said in ((b"", "empty key"), (b"\xff\xff", "overflows")):
+        with pytest.raises(Exception, match=said):
+            spark.createDataFrame([(last,)], "k binary").select(scalars.next_key(F.col("k"))).collect()
