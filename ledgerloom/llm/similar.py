@@ -236,7 +236,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meetings(block: list[list], most: int) -> tuple[list[np.ndarray], bool]:
-    """Of a block's rows (side, row, comp, n, sketch, origin), the pairs that _crossing wants, as arrays of lower and higher row;
+    """Of a block's rows (side, row, comp, n, sketch), the pairs that _crossing wants, as arrays of lower and higher row;
     whether some row had more than `most` of them."""
     if len({b[2] for b in block}) < 2:
         return [], False
@@ -244,10 +244,10 @@ def _meetings(block: list[list], most: int) -> tuple[list[np.ndarray], bool]:
     near: list[list[tuple[int, int]]] = [[] for _ in block]
     if len(block) <= SMALL:
         bits = [int.from_bytes(b[4] if len(b[4]) == size else fold(b[4], size).tobytes()) for b in block]
-        for i, (side, row, comp, n, _, origin) in enumerate(block):
+        for i, (side, row, comp, n, _) in enumerate(block):
             for j in range(i):
-                side_j, row_j, comp_j, n_j, _, origin_j = block[j]
-                if comp != comp_j and origin != origin_j and (side < 0 or side != side_j) and min(n, n_j) * 100 >= max(n, n_j) * LEAST_PERCENT:
+                side_j, row_j, comp_j, n_j, _ = block[j]
+                if comp != comp_j and (side < 0 or side != side_j) and min(n, n_j) * 100 >= max(n, n_j) * LEAST_PERCENT:
                     apart = (bits[i] ^ bits[j]).bit_count()
                     if apart <= (n + n_j) // 9:
                         near[i].append((apart, row_j))
@@ -255,11 +255,11 @@ def _meetings(block: list[list], most: int) -> tuple[list[np.ndarray], bool]:
         over = any(len(x) > most for x in near)
         found = [(min(b[1], r), max(b[1], r)) for b, x in zip(block, near, strict=True) for _, r in (sorted(x)[:most] if over else x)]
         return [np.array(sorted(set(found)), np.int64)] if found else [], over
-    side, row, comp, n, origin = (np.array([b[i] for b in block], np.int64) for i in (0, 1, 2, 3, 5))
+    side, row, comp, n = (np.array([b[i] for b in block], np.int64) for i in range(4))
     bits = np.stack([fold(b[4], size) for b in block])
     found, over = [], False
     for i in range(len(block)):
-        ok = (comp != comp[i]) & (origin != origin[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
+        ok = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * LEAST_PERCENT)
         if side[i] >= 0:
             ok &= side != side[i]
         at = np.flatnonzero(ok)
@@ -274,8 +274,8 @@ def _meetings(block: list[list], most: int) -> tuple[list[np.ndarray], bool]:
 
 
 def _crossing(most: int):
-    """From rows (key, part_a, part_b, side, row, comp, n, sketch, origin) sorted by the first three: pairs (a, b) of rows
-    of different components and origins whose sizes and sketches allow a link, for each row the `most` likeliest. Of two blocks, rows of
+    """From rows (key, part_a, part_b, side, row, comp, n, sketch) sorted by the first three: pairs (a, b) of rows of
+    different components whose sizes and sketches allow a link, for each row the `most` likeliest. Of two blocks, rows of
     the one meet those of the other. A row with a key alone says that this key has more pairs than that."""
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def _crossing(most: int):
 
         block, own, got = [], None, []
         for batch in batches:
-            for key, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch", "origin")), strict=True):
+            for key, a, b, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")), strict=True):
                 if (key, a, b) != own:
                     for row in tell(block, own[0]) if block else ():
                         got.append(row)
@@ -548,48 +548,47 @@ def _rooted(rows: DataFrame, id_col: str, text_col: str, count: bool = False) ->
         return nodes.join(joined, F.col("row") == F.col("node"), "left").select(F.col("row").alias("_r"), "n", "sketch", F.coalesce("root", "row").alias("comp"))
 
     def mixed(held: DataFrame, comps: DataFrame) -> DataFrame:
-        """(key, row, origin, size, bytes) of the groups of held (key, row, origin) with several components and origins."""
+        """(key, row, size, bytes) of the keys of held (key, row) with several components."""
         placed = held.join(comps.select("_r", "comp", F.octet_length("sketch").alias("bytes")), F.col("row") == F.col("_r"))
-        placed = written(placed.select("key", "row", "origin", "comp", "bytes"), "held-keys")
-        spread = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("origin").alias("lo_o"), F.max("origin").alias("hi_o")]
-        sizes = placed.groupBy("key").agg(*spread, F.count("*").alias("size"), F.sum("bytes").alias("bytes")).where("lo != hi AND lo_o != hi_o")
-        sizes = written(sizes.select("key", "size", "bytes"), "mixed")
-        found = written(placed.select("key", "row", "origin").join(sizes, "key"), "mixed-keys")
+        placed = written(placed.select("key", "row", "comp", "bytes"), "held-keys")
+        sizes = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+        sizes = written(sizes.where("lo != hi").select("key", "size", "bytes"), "mixed")
+        found = written(placed.select("key", "row").join(sizes, "key"), "mixed-keys")
         drop(placed, sizes)
         return found
 
-    # Rows that share their keys' smallest row are a group: most pairs that share a key meet there, and once. Those of
-    # keys of several groups are left; they meet in a second pass, by key.
-    held = mixed(shared.select("key", "row", F.col("row").alias("origin")), belongs()).select("key", "row")
-    least = written(held.groupBy("key").agg(F.min("row").alias("least")), "least-rows")
-    leaders = written(held.join(least, "key").groupBy("row").agg(F.min("least").alias("leader")), "leaders")
-    by_leader = leaders.select(F.col("leader").alias("key"), "row", F.col("row").alias("origin"))
-    by_key = held.join(leaders, "row").select("key", "row", F.col("leader").alias("origin"))
-    tested = stars
-    for held in (by_leader, by_key):
-        # A group goes on to the next turn only if some of its rows had more likely pairs than the turn took: of the
-        # others every allowed pair is verified.
-        for most in LIKELIEST:
-            comps = belongs()
-            held = mixed(held, comps)
-            grouped = held.withColumn("parts", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-            meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
-            grouped = grouped.select("key", "row", "origin", "own", F.explode(meets).alias("m")).select("key", "row", "origin", "m.*", F.when(F.col("m.part_a") == F.col("m.part_b"), -1).otherwise(F.col("own")).alias("side"))
-            grouped = grouped.join(comps, F.col("row") == F.col("_r")).select("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch", "origin")
-            crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing(most), "a long, b long, key long")
-            crossing = written(crossing.distinct(), "crossing")
-            fresh = written(crossing.where("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-            if not fresh.isEmpty():
-                tested = tested.unionByName(fresh)
-                links = written(links.unionByName(sets.linked(fresh)), "links")
-                joined = components(links)
-            more = written(crossing.where("key IS NOT NULL").select("key"), "more-keys")
-            if more.isEmpty():
-                break
-            held = held.join(more, "key", "left_semi").select("key", "row", "origin")
-        else:
-            # What is left are groups of many rows that lie close to each other without being linked.
-            placed = held.join(belongs().select("_r", "n", "comp"), F.col("row") == F.col("_r")).select(F.col("key").alias("own"), "row", "n", "comp", "origin")
+    # Keys whose rows still belong to several components. A key goes on to the next turn only if some of its rows had
+    # more likely pairs than the turn took: of the others every allowed pair is verified.
+    held, tested = shared.select("key", "row"), stars
+    for most in LIKELIEST:
+        comps = belongs()
+        held = mixed(held, comps)
+        grouped = held.withColumn("parts", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("part_a"), F.greatest(k, F.col("own")).alias("part_b")))
+        grouped = grouped.select("key", "row", "own", F.explode(meets).alias("m")).select("key", "row", "m.*", F.when(F.col("m.part_a") == F.col("m.part_b"), -1).otherwise(F.col("own")).alias("side"))
+        grouped = grouped.join(comps, F.col("row") == F.col("_r")).select("key", "part_a", "part_b", "side", "row", "comp", "n", "sketch")
+        crossing = grouped.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b").mapInArrow(_crossing(most), "a long, b long, key long")
+        crossing = written(crossing.distinct(), "crossing")
+        fresh = written(crossing.where("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            tested = tested.unionByName(fresh)
+            links = written(links.unionByName(sets.linked(fresh)), "links")
+            joined = components(links)
+        more = written(crossing.where("key IS NOT NULL").select("key"), "more-keys")
+        if more.isEmpty():
+            break
+        held = held.join(more, "key", "left_semi").select("key", "row")
+    else:
+        # What is left are keys of many rows that lie close to each other without being linked. Rows that share their
+        # keys' smallest row are a group, in which a pair meets once however many keys it shares; then, in keys of several
+        # groups, those across meet.
+        held = mixed(held, belongs()).select("key", "row")
+        least = written(held.groupBy("key").agg(F.min("row").alias("least")), "least-rows")
+        leaders = written(held.join(least, "key").groupBy("row").agg(F.min("least").alias("leader")), "leaders")
+        by_leader = leaders.select(F.col("leader").alias("own"), "row", F.col("row").alias("origin"))
+        by_key = held.join(leaders, "row").select(F.col("key").alias("own"), "row", F.col("leader").alias("origin"))
+        for groups in (by_leader, by_key):
+            placed = groups.join(belongs().select("_r", "n", "comp"), F.col("row") == F.col("_r")).select("own", "row", "n", "comp", "origin")
             fresh = _joined_in_tiles(texts, written(placed, "close-rows"))
             if not fresh.isEmpty():
                 links = written(links.unionByName(fresh), "links")
@@ -610,10 +609,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. All rows of a part key (see part_keys) are held against its first row. Nearly all near copies are joined here,
        at one pair per row and first row however large the group.
-    2. Of the keys that still hold several components, rows that share their keys' smallest row make groups, in which a
-       pair meets once however many keys it shares; pairs of a key across groups meet by key after that. In both, the
-       sketches of all rows of different components are compared in memory, in blocks, and of the pairs that the sketch bound allows the likeliest few of each row go on, in two
-       turns. Where a row had more, its group's pairs between components are verified on their sets, in tiles of bounded
+    2. In the groups that still hold several components, the sketches of all rows of different components are compared
+       in memory, in blocks, and of the pairs that the sketch bound allows the likeliest few of each row go on, in two
+       turns. Where a row had more still, the pairs between components are verified on their sets, in tiles of bounded
        size that tell of no pair but the links that join something: quadratic in time where thousands of texts lie close
        to each other without being linked, but not in rows or memory.
 
