@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,8 @@ WINDOW = 35
 #: Words of an m-mer; a window's minimiser is its m-mer of the smallest hash.
 MMER = 8
 
-#: Windows that travel in one string at most, and that one bucket of a minimiser holds; beyond, it is split by window.
+#: Windows that travel in one string at most, and that one bucket of a minimiser holds; beyond, its windows are counted
+#: one by one.
 MOST_IN_STRING, MOST_IN_BUCKET = 512, 20_000
 
 #: The base of the rolling hash, odd, and its inverse modulo 2^64.
@@ -86,26 +86,40 @@ def _window_key(words: list[bytes]) -> bytes:
     return joined if len(joined) < 4096 else b" " + hashlib.blake2b(joined, digest_size=32).digest()
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each cut of a row: the words of its windows as one string; for a split bucket, a string for each window."""
-    names = ["mini", "part", "row", "start", "single", "packed"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[dict]]]:
     for batch in batches:
-        got = []
         for row, text, cuts in zip(batch.column(ROW_ID).to_pylist(), batch.column("_text"), batch.column("cuts").to_pylist(), strict=True):
-            words = (text.as_py() or "").encode().split()
+            yield row, (text.as_py() or "").encode().split(), cuts
+
+
+def _in_batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 5_000) -> Iterator[pa.RecordBatch]:
+    got: list[tuple] = []
+    for r in rows:
+        got.append(r)
+        if len(got) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), types, strict=True)], names)
+            got = []
+    if got:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), types, strict=True)], names)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each cut of a row: the words of its windows as one string."""
+    rows = ((c["mini"], row, c["start"], c["single"], b" ".join(words[c["start"] : c["start"] + c["n"] + WINDOW - 1])) for row, words, cuts in _cuts(batches) for c in cuts)
+    return _in_batches(rows, ["mini", "row", "start", "single", "packed"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each window of a row's cuts: where it starts and a digest of 128 bits."""
+
+    def rows() -> Iterator[tuple]:
+        for row, words, cuts in _cuts(batches):
             for c in cuts:
-                if c["parts"] == 1:
-                    got.append((c["mini"], 0, row, c["start"], c["single"], b" ".join(words[c["start"] : c["start"] + c["n"] + WINDOW - 1])))
-                    continue
                 for i in range(c["start"], c["start"] + c["n"]):
-                    one = b" ".join(words[i : i + WINDOW])
-                    got.append((c["mini"], zlib.crc32(one) % c["parts"], row, i, c["single"], one))
-            if len(got) >= 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), types, strict=True)], names)
-                got = []
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), types, strict=True)], names)
+                    digest = hashlib.blake2b(b" ".join(words[i : i + WINDOW]), digest_size=16).digest()
+                    yield row, i, c["single"], int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)
+
+    return _in_batches(rows(), [ROW_ID, "_s", "single", "w1", "w2"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +134,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, own = [], None
     for batch in batches:
         got = []
-        for mini, part, row, start, single, packed in zip(*(batch.column(c).to_pylist() for c in ("mini", "part", "row", "start", "single", "packed")), strict=True):
-            if (mini, part) != own and bucket:
+        for mini, row, start, single, packed in zip(*(batch.column(c).to_pylist() for c in ("mini", "row", "start", "single", "packed")), strict=True):
+            if mini != own and bucket:
                 got += ranges(bucket)
                 bucket = []
-            own = (mini, part)
+            own = mini
             bucket.append((row, start, single, packed.split(b" ")))
         yield _range_batch(got)
     yield _range_batch(ranges(bucket))
@@ -156,16 +170,21 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
 
     mixed = again.where(~F.col("alike"))
     strings = written(mixed.groupBy("mini", "digest").agg(F.count("*").alias("times"), F.min(F.struct(ROW_ID, "start", "n")).alias("first")), "strings")
-    copied = mixed.join(strings.where("times > 1").select("mini", "digest"), ["mini", "digest"]).select(ROW_ID, F.col("start").alias("_s"), end.alias("_e"))
+    copied = mixed.join(strings.where("times > 1").select("mini", "digest").hint("merge"), ["mini", "digest"]).select(ROW_ID, F.col("start").alias("_s"), end.alias("_e"))
     large = strings.groupBy("mini").agg(F.sum("first.n").alias("windows")).where(F.col("windows") > MOST_IN_BUCKET)
-    large = written(large.select(F.col("mini").alias("_mini"), F.ceil(F.col("windows") / MOST_IN_BUCKET).alias("_parts")), "large-buckets")
+    large = written(large.select(F.col("mini").alias("_mini")), "large-buckets")
     cuts = strings.join(large, F.col("mini") == F.col("_mini"), "left").select(
-        F.col(f"first.{ROW_ID}").alias("_row"), F.struct("mini", F.col("first.start").alias("start"), F.col("first.n").alias("n"), (F.col("times") == 1).alias("single"), F.coalesce("_parts", F.lit(1)).alias("parts")).alias("cut")
+        F.col(f"first.{ROW_ID}").alias("_row"), F.col("_mini").isNotNull().alias("large"), F.struct("mini", F.col("first.start").alias("start"), F.col("first.n").alias("n"), (F.col("times") == 1).alias("single")).alias("cut")
     )
-    cuts = cuts.groupBy("_row").agg(F.collect_list("cut").alias("cuts"))
-    packed = rows.join(cuts, F.col(ROW_ID) == F.col("_row")).mapInArrow(_packed, "mini long, part long, row long, start long, single boolean, packed binary")
-    counted = packed.repartition("mini", "part").sortWithinPartitions("mini", "part").mapInArrow(_counted, f"{ROW_ID} long, _s long, _e long")
-    return whole.unionByName(copied).unionByName(counted)
+    cuts = written(cuts.groupBy("large", "_row").agg(F.collect_list("cut").alias("cuts")), "cuts")
+    in_rows = lambda large_ones: rows.join(cuts.where("large" if large_ones else "NOT large").select("_row", "cuts"), F.col(ROW_ID) == F.col("_row"))
+    packed = in_rows(False).mapInArrow(_packed, "mini long, row long, start long, single boolean, packed binary")
+    counted = packed.repartition("mini").sortWithinPartitions("mini").mapInArrow(_counted, f"{ROW_ID} long, _s long, _e long")
+    # Of a large bucket each window is a row: counted by digest in every task, then by an aggregate that meets them again.
+    apart = written(in_rows(True).mapInArrow(_apart, f"{ROW_ID} long, _s long, single boolean, w1 long, w2 long"), "windows")
+    twice = written(apart.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2"), "repeated-windows")
+    repeated = apart.where("single").join(twice.hint("merge"), ["w1", "w2"]).select(ROW_ID, "_s", (F.col("_s") + WINDOW).alias("_e"))
+    return whole.unionByName(copied).unionByName(counted).unionByName(repeated)
 
 
 def drop_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -180,8 +199,9 @@ def drop_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     - of the rest, runs with the same digest are repeated in whole, and one of each kind travels as a packed string of
       its words to its minimiser's bucket, where its windows are sorted and equal ones found, word for word.
 
-    Minimisers are counted in each task before the shuffle; a bucket of more than MOST_IN_BUCKET windows is split by
-    window, so that no task holds more. Runs longer than MOST_IN_STRING are cut. Texts are dealt by row once.
+    Minimisers are counted in each task before the shuffle. The windows of a bucket of more than MOST_IN_BUCKET are rows of
+    their own, by a digest of 128 bits that each task counts before the shuffle: so no task holds more, and a window that
+    stands in a third of the documents is split. Runs longer than MOST_IN_STRING are cut. Texts are dealt by row once.
 
     Defined cases: null and empty texts have no words; texts of fewer than WINDOW words lose nothing; repeated rows are
     repeats of each other; ids play no part, so null and repeated ones pass through; a very long text is a run of its own
