@@ -34,6 +34,10 @@ LEAST_SEEN, LEAST_ERRORS = 5, 4.0
 PASSES, STEP, PENALTY = 150, 0.3, 1e-4
 
 
+#: Bytes of text that are looked at at a time, and words whose features a worker keeps, at most.
+RUN, MOST_WORDS = 1 << 20, 200_000
+
+
 def feature_id(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name.encode()) % FEATURES
 
@@ -110,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", RUN):
                 row, feature = present_features(part.column("_text"), word_features)
                 starts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 ids = [feature[a:b].astype("<i4").tobytes() for a, b in zip(starts, starts[1:], strict=False)]
@@ -147,8 +151,8 @@ def score(rows: DataFrame, weights: np.ndarray, text_col: str) -> DataFrame:
             return known[word]
 
         for batch in batches:
-            for part in slices(batch, text_col):
-                if len(known) > 500_000:
+            for part in slices(batch, text_col, RUN):
+                if len(known) > MOST_WORDS:
                     known.clear()
                 row, feature = present_features(part.column(text_col), used)
                 z = np.bincount(row, w[feature], part.num_rows) + w[-1]
