@@ -26,6 +26,9 @@ DIMENSIONS, BITS = 3, 12
 #: Bytes of ids in a range of the curve, about.
 RANGE_BYTES = 64 << 20
 
+#: Bytes of text that are encoded at a time.
+RUN = 4 << 20
+
 #: Distinct words whose ids a worker keeps at most.
 MOST_WORDS = 600_000
 
@@ -79,11 +82,10 @@ class Encoder:
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.flat, self.size = np.concatenate((self.flat, *ids)), np.concatenate((self.size, *size))
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        joined = [w for w in new if self.plain and PLAIN.fullmatch(w)]
-        order, ids, size = [], [], []
-        single = [w for w in new if not (self.plain and PLAIN.fullmatch(w))]
+    def _learn(self, new: list[str]) -> None:
+        joined, single, order, ids, size = [], [], [], [], []
+        for w in new:
+            (joined if self.plain and PLAIN.fullmatch(w) else single).append(w)
         for k in range(0, len(joined), JOINED):
             part = joined[k : k + JOINED]
             got = np.array(self._ids([" ".join(part)])[0], np.uint32)
@@ -110,9 +112,13 @@ class Encoder:
         places = []
         for part in (letters, marks):
             coded = part.dictionary_encode()
-            known = coded.dictionary.to_pylist()
-            self._learn(known)
-            places.append(np.fromiter((self.place[w] for w in known), np.int64, len(known))[coded.indices.to_numpy(zero_copy_only=False)])
+            known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            at = list(map(self.place.get, known))
+            new = [i for i, x in enumerate(at) if x is None]
+            self._learn([known[i] for i in new])
+            for i in new:
+                at[i] = self.place[known[i]]
+            places.append(np.array(at, np.int64)[coded.indices.to_numpy(zero_copy_only=False)])
         return np.stack(places, axis=1)
 
     def _expand(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +252,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         encode = Encoder(path)
         vectors = projection(vocabulary)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", RUN):
                 ids, at, sums = encode(part.column("_text"), vectors)
                 key = hilbert_key(cells_of(sums, np.diff(at)))
                 ids = ids.astype(width)
