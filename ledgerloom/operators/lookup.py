@@ -38,8 +38,9 @@ def forward_asof(probes: DataFrame, table: DataFrame, probe: str, key: str, valu
     rows = table.select(F.col(key).cast("long").alias("_k"), F.lit(1).alias("_side"), hit.alias("_hit"))
     asked = probes.withColumn("_k", F.col(probe).cast("long")).withColumn("_side", F.lit(0))
     both = asked.unionByName(rows, allowMissingColumns=True).withColumn("_range", range_of(bounds, F.col("_k")))
-    ahead = Window.partitionBy("_range").orderBy("_k", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    near = both.withColumn("_next", F.first("_hit", ignorenulls=True).over(ahead)).where("_side = 0")
+    # From the largest key down: a frame that grows costs one step a row, one that shrinks would start anew for each.
+    ahead = Window.partitionBy("_range").orderBy(F.col("_k").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("_next", F.last("_hit", ignorenulls=True).over(ahead)).where("_side = 0")
     # A range's bound is its smallest key, so that the first key after range r is the bound r itself; its value is looked up.
     firsts = rows.withColumn("_range", range_of(bounds, F.col("_k"))).groupBy("_range").agg(F.min("_hit").alias("_first"))
     later = firsts.select((F.col("_range") - 1).alias("_of"), F.col("_first").alias("_later"))

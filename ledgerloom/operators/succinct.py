@@ -49,9 +49,10 @@ def seek(values: DataFrame, probes: DataFrame, by: list[str], reverse: bool = Fa
     """
     rows = values.select(*by, F.col("value").alias("_k"), F.lit(0 if reverse else 1).alias("_side"), F.col("value").alias("_hit"))
     both = probes.select(*by, "x", F.col("x").alias("_k"), F.lit(1 if reverse else 0).alias("_side")).unionByName(rows, allowMissingColumns=True)
-    order = [F.col("_k"), F.col("_side")] if not reverse else [F.col("_k").desc(), F.col("_side").desc()]
-    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.withColumn("found", F.first("_hit", ignorenulls=True).over(ahead)).where(F.col("x").isNotNull()).select(*by, "x", "found")
+    # Towards the probes, in a frame that grows: it costs one step a row.
+    order = [F.col("_k"), F.col("_side")] if reverse else [F.col("_k").desc(), F.col("_side").desc()]
+    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("found", F.last("_hit", ignorenulls=True).over(ahead)).where(F.col("x").isNotNull()).select(*by, "x", "found")
 
 
 def select_bit(x: Column, n: Column) -> Column:
