@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 U = np.uint64
 
@@ -250,3 +250,67 @@ def murmur_bucket(x: Column, buckets: int, seed: int = 0) -> Column:
         return pd.Series(remap(murmur3_128(values.tolist(), seed)[0], buckets).astype(np.int64))
 
     return bucket(x)
+
+
+# Transactions in their envelopes (EIP-2718): a list, or a type byte and a list, or either as an RLP string.
+
+# The fields of each type, in order.
+LEGACY = ("nonce", "gas_price", "gas", "to", "value", "data", "v", "r", "s")
+TYPED = {
+    1: ("chain_id", "nonce", "gas_price", "gas", "to", "value", "data", "access_list", "v", "r", "s"),
+    2: ("chain_id", "nonce", "tip", "gas_price", "gas", "to", "value", "data", "access_list", "v", "r", "s"),
+    3: ("chain_id", "nonce", "tip", "gas_price", "gas", "to", "value", "data", "access_list", "blob_fee", "blob_hashes", "v", "r", "s"),
+    4: ("chain_id", "nonce", "tip", "gas_price", "gas", "to", "value", "data", "access_list", "authorizations", "v", "r", "s"),
+}
+LISTS = ("access_list", "blob_hashes", "authorizations")
+#: Numbers of up to 256 bits stay bytes, big-endian.
+TRANSACTION = StructType([StructField("type", IntegerType()), *(StructField(n, LongType()) for n in ("chain_id", "nonce", "gas")), *(StructField(n, BinaryType()) for n in ("to", "value", "gas_price", "tip", "data", "v", "r", "s"))])
+
+
+class UnknownTransaction(ValueError):
+    """A transaction of a type that isn't known."""
+
+
+def transaction(data: bytes) -> dict[str, object]:
+    """The fields of TRANSACTION; tip and chain_id are None where the type has none. A legacy signature names its chain in
+    v, if that is 35 or more (EIP-155)."""
+    if data and 0x80 <= data[0] < 0xC0:
+        begin, end, _ = _rlp_span(data, 0, len(data))
+        if end != len(data):
+            raise CorruptRlp("bytes after the transaction")
+        data = data[begin:end]
+    if not data:
+        raise CorruptRlp("no bytes")
+    kind = 0 if data[0] >= 0xC0 else data[0]
+    if kind and kind not in TYPED:
+        raise UnknownTransaction(f"type {kind}")
+    names = TYPED.get(kind, LEGACY)
+    items = rlp_split(data[1:] if kind else data)
+    if len(items) != len(names):
+        raise CorruptRlp(f"{len(items)} fields, not {len(names)}")
+    found: dict[str, object] = dict(zip(names, items, strict=True))
+    for name in LISTS:
+        if name in found:
+            rlp_split(found[name])
+    if len(found["to"]) not in (0, 20):
+        raise CorruptRlp("an address of other than 20 bytes")
+    for name in set(names) - {"to", "data", *LISTS}:
+        if found[name][:1] == b"\0" or len(found[name]) > 32:
+            raise CorruptRlp("a number not spelled in the shortest way")
+    for name in ("nonce", "gas", "chain_id"):
+        if len(found.get(name, b"")) > 8 or (number := int.from_bytes(found.get(name, b""))) >= 1 << 63:
+            raise CorruptRlp("a number that is too large")
+        found[name] = number if name in names else None
+    v = int.from_bytes(found["v"])
+    if not kind and v >= 35 and (v - 35) // 2 < 1 << 63:
+        found["chain_id"] = (v - 35) // 2
+    return {"type": kind, "tip": None, **found}
+
+
+@F.pandas_udf(TRANSACTION)
+def transactions(x: pd.Series) -> pd.DataFrame:
+    """Decoded transactions; an undecodable one is an error, null stays null in every field."""
+    names = TRANSACTION.names
+    rows = [dict.fromkeys(names) if b is None else transaction(bytes(b)) for b in x]
+    found = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
+    return found.astype({"type": "Int32", "chain_id": "Int64", "nonce": "Int64", "gas": "Int64"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +50,12 @@ def visible_files(manifest: DataFrame) -> DataFrame:
     """Files not contained in another: in order of (start, end descending), those that end beyond all before them."""
     window = Window.partitionBy("kind").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("_reach", F.max("end").over(window)).where(F.col("_reach").isNull() | (F.col("end") > F.col("_reach"))).drop("_reach")
+
+
+def checked_files(files: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The files that a user's check against other kinds of files keeps: a function of the table of files, so a join or a
+    predicate, which must not change its columns."""
+    kept = check(files)
+    if kept.columns != files.columns:
+        raise ValueError("a check of files keeps their columns")
+    return kept

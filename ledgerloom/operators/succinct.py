@@ -103,6 +103,14 @@ def ef_bytes(values: np.ndarray) -> bytes:
     return PAIR.pack(n - 1, top) + low.tobytes() + _bits(high, upper).tobytes() + jump.astype("<u8").tobytes()
 
 
+def ef_size(data: bytes) -> int:
+    """Bytes of the stored sequence that data begins with."""
+    if len(data) < PAIR.size:
+        raise CorruptSequence("shorter than its counts")
+    n, top = PAIR.unpack_from(data)
+    return PAIR.size + 8 * sum(_layout(n + 1, top)[1:])
+
+
 def ef_values(data: bytes) -> np.ndarray:
     """The sequence of ef_bytes()."""
     if len(data) < PAIR.size:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookup import newest
+from .positions import with_positions
 
 #: A change at transaction t is seen by reads at later transactions only: as of ts, changes of tx < ts count.
 AS_OF_INCLUDES_OWN = False
@@ -60,6 +61,23 @@ def collate_large(changes: DataFrame, start: int, end: int, value: Callable[[Col
     return grouped.select(key.alias("key"), (value(F.col("value"), start, end) if value else F.col("value")).alias("value"))
 
 
+def prune(changes: DataFrame, step: int, limit: int = 0, resume: int | None = None) -> tuple[DataFrame, int | None]:
+    """The rows that pruning deletes, and the key to resume from (None: nothing is left): changes of steps up to `step`, in
+    the order of keys, a key's newest first, from the key `resume` on; as many as `limit`, 0 being no limit.
+
+    Places in that order come from ranges of keys, so no task sorts more than its range.
+    """
+    old = changes.where(F.col("step") <= step)
+    if resume is not None:
+        old = old.where(F.col("key") >= resume)
+    if not limit:
+        return old, None
+    dated = old.withColumns({"_step": -F.col("step"), "_tx": -F.col("tx")})
+    placed = with_positions(dated, "key", ties=("_step", "_tx"), ordinal="_place")
+    after = placed.where(F.col("_place") == limit).select("key").first()
+    return placed.where(F.col("_place") < limit).select(*changes.columns), after and after[0]
+
+
 def unwind(changes: DataFrame, tx: int) -> DataFrame:
     """Keys changed at tx or later, with the value to put back; empty: delete."""
     first = history(changes).where(F.col("tx") >= tx).groupBy("key").agg(F.min(F.struct("tx", "previous")).alias("f"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, scalars
 from ..operators import lookup, scan
+from ..sources import indexes
 from . import views as v
 from .registry import query
 
@@ -238,6 +239,81 @@ def raw_transactions(s: S, d: str) -> DataFrame:
     return v.txs(s, d).where("number >= 100 and number < 400").select("number", "idx", "sender", "part")
 
 
+def _enveloped(s: S, d: str) -> DataFrame:
+    """Transactions as they are stored: of five types in turn."""
+    numbers = {"nonce": F.col("idx"), "gas": F.col("quantity") + 21000, "value": F.col("part"), "chain_id": F.lit(1), "gas_price": F.col("sender"), "tip": F.lit(7), "blob_fee": F.lit(3), "v": F.when(F.col("kind") == 0, 37).otherwise(1), "r": F.col("number") + 1, "s": F.col("number") + 2}
+    texts = {"to": F.unhex(F.substring("hash", 1, 40)), "data": F.unhex("hash")}
+    fields = {n: codecs.rlp_integer(c) for n, c in numbers.items()} | {n: codecs.rlp_item(c) for n, c in texts.items()} | {n: F.unhex(F.lit("c0")) for n in codecs.LISTS}
+    # Items, then lists of them, then envelopes: an expression that stands in the next one many times is a column first.
+    items = v.txs(s, d).withColumn("kind", F.col("idx") % 5).select("number", "idx", "kind", *[c.alias(f"_{n}") for n, c in fields.items()])
+    body = F.lit(None)
+    for kind, names in {0: codecs.LEGACY, **codecs.TYPED}.items():
+        body = F.when(F.col("kind") == kind, F.concat(*[F.col(f"_{n}") for n in names])).otherwise(body)
+    lists = items.select("number", "idx", "kind", body.alias("_body"))
+    envelope = F.when(F.col("kind") == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.lpad(F.hex("kind"), 2, "0")))
+    return lists.select("number", "idx", F.concat(envelope, codecs.rlp_list(F.col("_body"))).alias("data"))
+
+
+@query("txs", """SELECT number, idx, (idx % 5)::INT AS type, 1::BIGINT AS chain_id, idx AS nonce, quantity + 21000 AS gas, substr(hash, 1, 40) AS "to",
+CASE WHEN length(hex(part)) % 2 = 1 THEN '0' ELSE '' END || lower(hex(part)) AS value, CASE WHEN idx % 5 > 1 THEN '07' END AS tip, hash AS data FROM (SELECT * REPLACE (nullif(part, 0) AS part) FROM txs) WHERE part IS NOT NULL
+UNION ALL SELECT number, idx, (idx % 5)::INT, 1::BIGINT, idx, quantity + 21000, substr(hash, 1, 40), '', CASE WHEN idx % 5 > 1 THEN '07' END, hash FROM txs WHERE part = 0""")
+def typed_transactions(s: S, d: str) -> DataFrame:
+    """Transactions decoded from their envelopes."""
+    shown = lambda c: F.lower(F.hex(f"t.{c}")).alias(c)
+    found = _enveloped(s, d).select("number", "idx", codecs.transactions("data").alias("t"))
+    return found.select("number", "idx", "t.type", "t.chain_id", "t.nonce", "t.gas", shown("to"), shown("value"), shown("tip"), shown("data"))
+
+
+@query("", "SELECT sha256(e.event_id::VARCHAR) AS hash, o.o_orderkey AS number FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id AND o.o_orderstatus = 'P'")
+def bad_header_number(s: S, d: str) -> DataFrame:
+    """The number of a header marked as bad, by its hash; null for any other hash. Marked are those of status P."""
+    bad = v.table(s, d, "orders").where("o_orderstatus = 'P'").select(v.block_hash(F.col("o_orderkey")).alias("hash"), F.col("o_orderkey").alias("number"))
+    return _probes(s, d).select(v.block_hash(F.col("number")).alias("hash")).join(bad, "hash", "left")
+
+
+INDEXED = 1 << 12
+
+
+def _indexed(s: S, d: str) -> DataFrame:
+    """Headers in files of so many numbers, with the offset of each in its file."""
+    return v.headers(s, d).select(F.floor(F.col("number") / INDEXED).cast("string").alias("file"), F.unhex("hash").alias("key"), (F.col("number") % INDEXED * 17).alias("offset"))
+
+
+@query("headers", f"SELECT number // {INDEXED} AS file, hash, number % {INDEXED} AS ordinal, number % {INDEXED} * 17 AS \"offset\" FROM headers")
+def perfect_lookup(s: S, d: str) -> DataFrame:
+    """Every header's hash found by the minimal perfect hash index of its file."""
+    rows = _indexed(s, d)
+    found = indexes.find(indexes.index_files(rows), rows).where("known")
+    return found.select(F.col("file").cast("long").alias("file"), F.lower(F.hex("key")).alias("hash"), "ordinal", "offset")
+
+
+@query("headers", f"SELECT number // {INDEXED} AS file, count(*) AS n_keys, (count(*) + 99) // 100 AS buckets, 2 AS record_bytes, count(*) AS existence_bytes FROM headers GROUP BY 1 HAVING count(*) > 256")
+def perfect_open(s: S, d: str) -> DataFrame:
+    """What the headers of indexes say, of those with more than 256 keys."""
+    found = indexes.open_indexes(indexes.index_files(_indexed(s, d))).where("n_keys > 256")
+    return found.select(F.col("file").cast("long").alias("file"), "n_keys", "buckets", F.col("record_bytes").cast("int").alias("record_bytes"), "existence_bytes")
+
+
+@query()
+def perfect_sizes(s: S, d: str) -> DataFrame:
+    """Bytes of each index by its sections, and bits of seeds a key."""
+    found = indexes.open_indexes(indexes.index_files(_indexed(s, d)))
+    rest = F.col("size") - F.col("offset_bytes") - F.col("seed_bytes") - F.col("existence_bytes") - F.col("bucket_bytes")
+    return found.select("file", "n_keys", "size", "offset_bytes", "seed_bytes", "existence_bytes", "bucket_bytes", rest.alias("record_bytes"), (8.0 * F.col("seed_bytes") / F.col("n_keys")).alias("bits_per_key"))
+
+
+@query("files", 'SELECT kind, start, "end" FROM files f WHERE (SELECT count(DISTINCT kind) FROM files g WHERE g.start = f.start AND g."end" = f."end") > 1')
+def cross_domain_files(s: S, d: str) -> DataFrame:
+    """Files that pass a check of the user's against the other kinds: here, that one of them has the same range."""
+    files = v.files(s)
+
+    def matched(own: DataFrame) -> DataFrame:
+        other = files.select(F.col("kind").alias("_kind"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        return own.join(other, (F.col("kind") != F.col("_kind")) & (F.col("start") == F.col("_start")) & (F.col("end") == F.col("_end")), "left_semi")
+
+    return scan.checked_files(files, matched)
+
+
 @query("files", 'SELECT kind, start, "end" FROM (SELECT *, max("end") OVER (PARTITION BY kind ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM files) WHERE r IS NULL OR "end" > r')
 def visible_files(s: S, d: str) -> DataFrame:
     return scan.visible_files(v.files(s))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import etl, succinct, temporal
+from ..sources import domains
 from . import views as v
 from .registry import query
 
@@ -91,6 +92,42 @@ def prune_plan(s: S, d: str) -> DataFrame:
     return v.changes(s, d).where("step <= 3").orderBy("key", "tx").select("key", "tx").limit(200)
 
 
+PRUNED = 150
+
+
+@query("changes", f"SELECT (place - 1) // {PRUNED} + 1 AS run, key, step, tx FROM (SELECT *, row_number() OVER (ORDER BY key, step DESC, tx DESC) AS place FROM changes WHERE step <= 3) WHERE place <= 2 * {PRUNED}")
+def prune_resumed(s: S, d: str) -> DataFrame:
+    """Two runs of pruning: the second one starts at the key that the first one has saved, without what that one deleted."""
+    changes = v.changes(s, d)
+    first, resume = temporal.prune(changes, 3, PRUNED)
+    first = first.select(F.lit(1).cast("long").alias("run"), "key", "step", "tx")
+    if resume is None:
+        return first
+    left = changes.join(first.select("key", "step", "tx"), ["key", "step", "tx"], "left_anti").select(*changes.columns)
+    second, _ = temporal.prune(left, 3, PRUNED, resume)
+    return first.unionByName(second.select(F.lit(2).cast("long").alias("run"), "key", "step", "tx"))
+
+
+def _built(s: S, d: str) -> domains.Built:
+    return domains.build_files(v.changes(s, d), "accounts", 0, LAST_STEP)
+
+
+STEP_KEYS = f"(SELECT step, key, arg_max(value, tx) AS value FROM changes WHERE step < {LAST_STEP} GROUP BY step, key)"
+
+
+@query("changes", f"SELECT 'accounts' AS kind, step AS start, step + 1 AS \"end\", count(*) AS n_keys, 2 * count(*) AS n_words FROM {STEP_KEYS} GROUP BY step")
+def build_files(s: S, d: str) -> DataFrame:
+    """The cold steps as segments of keys and values with their indexes, and what the manifest says of them."""
+    return _built(s, d).manifest.select("kind", "start", "end", "n_keys", "n_words")
+
+
+@query("changes", f"SELECT p.step AS start, p.key, k.value FROM (SELECT DISTINCT user_id AS key, event_id * 7 % {LAST_STEP} AS step FROM events) p JOIN {STEP_KEYS} k USING (step, key)")
+def file_get(s: S, d: str) -> DataFrame:
+    """Values of keys asked for in files that may have them, by the files' indexes."""
+    asked = v.table(s, d, "events").select(domains.file_of("accounts", F.col("event_id") * 7 % LAST_STEP).alias("file"), F.col("user_id").alias("key")).distinct()
+    return domains.get(_built(s, d), asked).select("start", "key", "value")
+
+
 @query("changes", "SELECT step, min(tx) AS first, max(tx) AS last, count(*) AS n, count(*) FILTER (WHERE value = '') AS deletions FROM changes GROUP BY step")
 def prune_stats(s: S, d: str) -> DataFrame:
     return v.changes(s, d).groupBy("step").agg(F.min("tx").alias("first"), F.max("tx").alias("last"), F.count("*").alias("n"), F.count_if(F.col("value") == "").alias("deletions"))
